@@ -52,3 +52,45 @@ def join_to_counted(
     )
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(buckets, F.lit(1)) - 1)))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def left_join_spread(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    spread: Column,
+    left_rows: int,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """`left` left join `right` with the hot keys of `left` spread over salts.
+
+    NULL keys match nothing and would all meet in one task, so they are spread
+    as well.  The hot keys are counted first; there are at most
+    `left_rows / threshold` of them, which bounds both broadcasts.
+    """
+    threshold = hot_threshold(left_rows, hot_rows)
+    if left_rows <= threshold:
+        return left.join(right, F.col(left_key) == F.col(right_key), "left")
+    hot = (
+        left.where(F.col(left_key).isNotNull())
+        .groupBy(F.col(left_key).alias("_hot"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > threshold)
+        .select("_hot", F.ceil(F.col("_n") / F.lit(threshold)).cast("int").alias("_buckets"))
+    )
+    buckets = F.when(F.col(left_key).isNull(), F.lit(MAX_HOT_KEYS)).otherwise(
+        F.coalesce("_buckets", F.lit(1))
+    )
+    salted = (
+        left.join(F.broadcast(hot), F.col(left_key) == F.col("_hot"), "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), buckets).cast("int"))
+        .drop("_hot", "_buckets")
+    )
+    repeated = (
+        right.join(F.broadcast(hot), F.col(right_key) == F.col("_hot"), "left")
+        .withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.coalesce("_buckets", F.lit(1)) - 1)))
+        .drop("_hot", "_buckets")
+    )
+    match = (F.col(left_key) == F.col(right_key)) & (F.col("_salt") == F.col("_salt2"))
+    return salted.join(repeated, match, "left").drop("_salt", "_salt2")
