@@ -147,6 +147,15 @@ def as_column_type(value: Column, target: T.DataType) -> Column:
     return value.try_cast(target)
 
 
+def round_to(col: Column, digits: int) -> Column:
+    """Half-up rounding on the decimal value.
+
+    Scores are sums of short decimals, so exact ties are common; going through a
+    decimal keeps binary noise from deciding them.
+    """
+    return F.round(col.cast("decimal(38,10)"), digits).cast("double")
+
+
 def clamp01(col: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col))
 

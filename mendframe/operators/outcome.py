@@ -197,5 +197,5 @@ def composite(
         + 0.20 * F.col("downstream")
         - F.col("over_cleaning")
     )
-    total = F.when(F.coalesce("unchanged", F.lit(False)), 0.0).otherwise(cells.clamp01(F.round(raw, 4)))
+    total = F.when(F.coalesce("unchanged", F.lit(False)), 0.0).otherwise(cells.clamp01(cells.round_to(raw, 4)))
     return row.withColumn("composite", total)

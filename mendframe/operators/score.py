@@ -229,7 +229,8 @@ def components(
             row = row.withColumn(c, F.coalesce(c, F.lit(default)))
     skipped = F.lit(not validated) & (F.col("total_issues") > 0)
     row = row.withColumn(
-        "validation", F.round(F.when(skipped, F.col("validation") * 0.5).otherwise(F.col("validation")), 4)
+        "validation",
+        cells.round_to(F.when(skipped, F.col("validation") * 0.5).otherwise(F.col("validation")), 4),
     )
     row = row.withColumn("fp_penalty", fp_penalty(F.col("false_positives")))
     if not validated:
@@ -239,7 +240,7 @@ def components(
 
 
 def _final(raw: Column) -> Column:
-    return F.when(F.col("unchanged"), F.lit(0.0)).otherwise(cells.clamp01(F.round(raw, 4)))
+    return F.when(F.col("unchanged"), F.lit(0.0)).otherwise(cells.clamp01(cells.round_to(raw, 4)))
 
 
 def _full(name: str) -> Column:
@@ -264,6 +265,11 @@ def with_levels(parts: DataFrame) -> DataFrame:
     return out.withColumn("generic", _final(generic))
 
 
+def scaled(raw: Column) -> Column:
+    """Raw score to the open interval (0, 1)."""
+    return cells.round_to(0.01 + 0.98 * raw, 4)
+
+
 def score(level: str, parts: DataFrame) -> DataFrame:
     """The component row with `raw` and the scaled `score` of one level."""
     if level not in ("easy", "medium", "hard", "generic"):
@@ -273,12 +279,12 @@ def score(level: str, parts: DataFrame) -> DataFrame:
         F.lit(level).alias("level"),
         *[c for c in parts.columns],
         raw.alias("raw"),
-        F.round(0.01 + 0.98 * raw, 4).alias("score"),
+        scaled(raw).alias("score"),
     )
 
 
 def summary(scores: DataFrame) -> DataFrame:
     """(level, score, result, average) over score rows of several levels."""
-    average = scores.agg(F.round(F.avg("score"), 4).alias("score")).select(F.lit("average").alias("level"), "score")
+    average = scores.agg(cells.round_to(F.avg("score"), 4).alias("score")).select(F.lit("average").alias("level"), "score")
     every = scores.select("level", "score").unionByName(average)
     return every.withColumn("result", F.when(F.col("score") >= PASS_MARK, F.lit("Pass")).otherwise(F.lit("Fail")))

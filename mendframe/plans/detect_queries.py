@@ -218,7 +218,7 @@ def _amount_as_number(df):
  WHERE d.id NOT IN (SELECT row_id FROM i WHERE action='delete')""",
 )
 def apply_corrections(spark, sf_dir):
-    s = orders_scan(spark, sf_dir)
+    s = orders_scan(spark, sf_dir, store=True)
     return _amount_as_number(repair.apply_corrections(s.data, s.issues))
 
 
@@ -303,7 +303,7 @@ def inject_invariants(spark, sf_dir):
 
 @register("inject_decoy")
 def inject_decoy(spark, sf_dir):
-    s = orders_scan(spark, sf_dir)
+    s = orders_scan(spark, sf_dir, store=True)
     return inject.inject_decoy(s.data, s.profile, s.issues)[1]
 
 

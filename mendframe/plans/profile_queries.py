@@ -27,9 +27,9 @@ def _profiles(spark, sf_dir, **options):
     return frames[0].unionByName(frames[1])
 
 
-def orders_scan(spark, sf_dir, level="hard"):
+def orders_scan(spark, sf_dir, level="hard", store=False):
     refs = {"customer": inputs.table(spark, sf_dir, "customer")}
-    return scan(inputs.orders_dirty(spark, sf_dir), ORDERS, level=level, references=refs)
+    return scan(inputs.orders_dirty(spark, sf_dir), ORDERS, level=level, references=refs, store=store)
 
 
 @register(

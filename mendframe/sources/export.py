@@ -66,7 +66,9 @@ def export_table(
         raise ValueError("Cannot export an empty table.")
     seen = Observation()
     out = df.drop(*META_COLUMNS).observe(seen, F.count(F.lit(1)).alias("n"))
-    path = f"{folder.rstrip('/')}/{export_name(dataset)}.{fmt}"
+    # the extension names what is written, so that loading it back needs no hint
+    extension = "jsonl" if fmt == "json" else fmt
+    path = f"{folder.rstrip('/')}/{export_name(dataset)}.{extension}"
     writer = out.write.mode(mode)
     if fmt == "csv":
         _flat(out).write.mode(mode).option("header", True).option("escape", '"').csv(path)
