@@ -11,15 +11,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The text forms accepted as a number, and the run of characters
-# treated as blank space (Unicode white space plus the four separators 1c-1f).
+# The text forms accepted as a number, and the characters treated
+# as blank space (Unicode white space and the four separators 1c-1f).
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
-BLANK_ONLY = r"(?U)^[\s\x1c-\x1f]*$"
-BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-# A value is untidy when it starts or ends with blank space, or holds two blanks
-# in a row, or any blank other than the plain space.
-UNTIDY = r"(?U)^[\s\x1c-\x1f]|[\s\x1c-\x1f]$|[\s\x1c-\x1f]{2}|[\s\x1c-\x1f&&[^ ]]"
+ODD_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+BLANKS = " " + ODD_BLANKS
+# the same characters as pattern ranges
+_ODD_RANGES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ANY_ODD_BLANK = f"[{_ODD_RANGES}]"
+BLANK_RUN = f"[ {_ODD_RANGES}]+"
+BLANK_ONLY = f"^[ {_ODD_RANGES}]*$"
+LARGEST = 1.7976931348623157e308
 
 MATCH_TOLERANCE = 1e-4
 
@@ -46,7 +52,10 @@ def can_be_nan(dtype: T.DataType) -> bool:
 def is_null_like(col: Column, dtype: T.DataType) -> Column:
     """NULL, NaN, or text that holds only blank space.  Never NULL itself."""
     if is_text(dtype):
-        return col.isNull() | F.coalesce(col.rlike(BLANK_ONLY), F.lit(True))
+        # text that starts with a printable ASCII character needs no pattern
+        printable = (col >= "!") & (col < "\x7f")
+        blank = F.when(printable, F.lit(False)).otherwise(col.rlike(BLANK_ONLY))
+        return col.isNull() | F.coalesce(blank, F.lit(True))
     if can_be_nan(dtype):
         return col.isNull() | F.isnan(col)
     return col.isNull()
@@ -56,22 +65,20 @@ def not_null_like(col: Column, dtype: T.DataType) -> Column:
     return ~is_null_like(col, dtype)
 
 
-def _finite(number: Column) -> Column:
-    # NaN sorts above infinity, so it fails this test as well
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
-
-
 def to_number(col: Column, dtype: T.DataType) -> Column:
-    """The cell as a double, or NULL when it does not read as a number.
+    """The cell as a finite double, or NULL when it does not read as a number.
 
     Text goes through the pattern first: a plain cast would accept '1d' or
-    'Infinity', and would pay for an exception on every ordinary word.
-    Infinite values do not count as numbers.
+    'Infinity', and would pay for an exception on every ordinary word.  Text
+    beyond the range of a double counts as the largest one.
     """
     if is_text(dtype):
-        return _finite(F.when(col.rlike(NUMERIC_TEXT), col.try_cast("double")))
+        # the pattern guarantees a number, so the bounds cannot replace a NULL
+        number = F.least(F.greatest(col.try_cast("double"), F.lit(-LARGEST)), F.lit(LARGEST))
+        return F.when(col.rlike(NUMERIC_TEXT), number)
     if can_be_nan(dtype):
-        return _finite(col.cast("double"))
+        # NaN sorts above infinity, so it fails this test as well
+        return F.when(F.abs(col) < F.lit(float("inf")), col.cast("double"))
     if is_numeric(dtype):
         return col.cast("double")
     return F.lit(None).cast("double")
@@ -91,12 +98,20 @@ def squeeze_blanks(col: Column) -> Column:
 
 
 def is_untidy(col: Column) -> Column:
-    """True where squeeze_blanks would change the text; a search, not a rewrite."""
-    return F.coalesce(col.rlike(UNTIDY), F.lit(False))
+    """True where squeeze_blanks would change the text; a search, not a rewrite.
+
+    That is a space at an end, two spaces in a row, or any other blank.
+    """
+    space = F.lit(" ")
+    found = (
+        F.startswith(col, space) | F.endswith(col, space) | F.contains(col, F.lit("  ")) | col.rlike(ANY_ODD_BLANK)
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def strip_blanks(col: Column) -> Column:
-    return F.regexp_replace(col, BLANK_ENDS, "")
+    """Both ends trimmed; the general trim only runs on text with unusual blanks."""
+    return F.when(col.rlike(ANY_ODD_BLANK), F.btrim(col, F.lit(BLANKS))).otherwise(F.trim(col))
 
 
 def fold_key(col: Column, dtype: T.DataType) -> Column:

@@ -97,8 +97,7 @@ def cell_facts(
     profile: TableProfile,
 ) -> DataFrame:
     """One row per distinct cell or row named by a fix or a delete, with what is known of it."""
-    named = log.where(F.col("action_type").isin("fix_cell", "delete_row") & F.col("row_id").isNotNull())
-    targets = named.groupBy(*_target_key()).agg(F.count(F.lit(1)).alias("n"))
+    targets = log.where(_names_a_row()).groupBy(*_target_key()).agg(F.count(F.lit(1)).alias("n"))
     targets = targets.withColumnRenamed("cell", "column")
     known = targets.join(_winning_issue(issues), ["row_id", "column"], "left")
     due = issues.where(F.col("issue_type").isin(*detect.ROW_CHECKS)).select("row_id").distinct()
@@ -120,6 +119,10 @@ def cell_facts(
     return facts.withColumnRenamed("column", "cell")
 
 
+def _names_a_row() -> Column:
+    return F.coalesce(F.col("action_type").isin("fix_cell", "delete_row"), F.lit(False)) & F.col("row_id").isNotNull()
+
+
 def _target_key() -> list[Column]:
     return [F.col("table"), F.col("row_id"), F.coalesce("column", F.lit("")).alias("cell")]
 
@@ -180,9 +183,12 @@ def action_rewards(
 
     facts = cell_facts(log, issues, decoys, originals, primary, profile)
     keyed = log.withColumn("cell", F.coalesce("column", F.lit("")))
+    named = _names_a_row()
+    # actions without a row would all share the empty key, so they skip the join
     joined = skew.join_to_counted(
-        keyed, facts, ["table", "row_id", "cell"], "n", F.struct("episode", "step"), total_rows, "left", hot_rows
-    )
+        keyed.where(named), facts, ["table", "row_id", "cell"], "n", F.struct("episode", "step"), total_rows,
+        hot_rows=hot_rows,
+    ).unionByName(keyed.where(~named), allowMissingColumns=True)
     # at most one row per column
     bulk = issues.groupBy("column").agg(
         F.count(F.when(F.col("issue_type").isin(*BULK_TYPES), 1)).alias("bulk_issues"),

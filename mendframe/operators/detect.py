@@ -1,8 +1,7 @@
 """Issue detection: eight rules, one issue table.
 
 Six of the rules depend only on the cell and on the profile, so they share one
-narrow pass: rows without a finding are filtered out, the rest explode into
-their findings.  Duplicates and orphans compare rows and are the only rules
+narrow pass in which every row unfolds into its findings.  Duplicates and orphans compare rows and are the only rules
 that shuffle, on pre-aggregated keys.
 """
 
@@ -37,9 +36,6 @@ MOSTLY_POSITIVE = 0.75
 FENCE = 3.0
 MIN_OUTLIER_VALUES = 4
 MAX_CATEGORIES = 20
-# with at most 20 distinct values the sketch of the profile (512 registers,
-# linear counting) cannot estimate more than 21, so this filter loses nothing
-_SKETCH_CATEGORIES = 32
 
 ISSUE_COLUMNS = (
     "issue_id", "issue_type", "table", "row_id", "column",
@@ -157,7 +153,8 @@ def category_columns(df: DataFrame, profile: TableProfile) -> list[str]:
         if p.dtype in TEXTUAL
         and cells.is_text(types[p.column])
         and p.present
-        and p.approx_unique <= _SKETCH_CATEGORIES
+        # 20 distinct values fill at most 20 hash slots, so this loses no column
+        and p.hash_bits <= MAX_CATEGORIES
     ]
 
 
@@ -173,12 +170,12 @@ def category_variants(df: DataFrame, profile: TableProfile) -> DataFrame:
             F.lit("").alias("column"), F.lit("").alias("form"), F.lit("").alias("dominant")
         ).limit(0)
     freq = frequency.value_frequencies(df, columns, profile.id_col)
-    size = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-    small = size.where(F.col("unique_count") <= MAX_CATEGORIES).select("column")
-    text = F.col("value")
+    size = F.count(F.lit(1)).over(Window.partitionBy("column"))
+    # partitioned by column from here on: nothing below shuffles again
     forms = (
-        freq.join(small, "column", "left_semi")
-        .withColumn("form", cells.strip_blanks(text))
+        freq.withColumn("unique_count", size)
+        .where(F.col("unique_count") <= MAX_CATEGORIES)
+        .withColumn("form", cells.strip_blanks(F.col("value")))
         .withColumn("folded", F.lower("form"))
         .groupBy("column", "folded", "form")
         .agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
@@ -221,47 +218,82 @@ class Finding:
         return self.number.cast("string") if self.correct is None else self.correct
 
 
-def cell_findings(df: DataFrame, rules: Rules, checks: Sequence[str]) -> list[Finding]:
-    """The six rules that look at one cell, per column in detection order."""
-    types, out = types_of(df), []
+class Parsed:
+    """A table with the derived forms of its cells as columns.
+
+    Each form (number, emptiness, stripped text) is computed once per row, by a
+    projection the rules refer to, however many rules need it.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df, self.types = df, types_of(df)
+        self.names = {c: i for i, c in enumerate(df.columns)}
+        self.forms: dict[str, Column] = {}
+
+    def _form(self, prefix: str, column: str, make) -> Column:
+        name = f"_{prefix}{self.names[column]}"
+        if name not in self.forms:
+            self.forms[name] = make(quoted(column))
+        return F.col(name)
+
+    def number(self, column: str) -> Column:
+        return self._form("n", column, lambda c: cells.to_number(c, self.types[column]))
+
+    def empty(self, column: str) -> Column:
+        return self._form("e", column, lambda c: cells.is_null_like(c, self.types[column]))
+
+    def stripped(self, column: str) -> Column:
+        return self._form("s", column, cells.strip_blanks)
+
+    def frame(self) -> DataFrame:
+        return self.df.select("*", *[form.alias(name) for name, form in self.forms.items()])
+
+
+def cell_findings(parsed: Parsed, rules: Rules, checks: Sequence[str]) -> list[Finding]:
+    """The six rules that look at one cell, per column in detection order.
+
+    The conditions refer to columns of `parsed.frame()`.
+    """
+    out = []
     wrong_type = set(type_error_columns(rules.profile))
     for p in rules.profile.checked():
-        c, t = p.column, types[p.column]
-        col = quoted(c)
-        null_like, number = cells.is_null_like(col, t), cells.to_number(col, t)
+        c, t = p.column, parsed.types[p.column]
         if "null" in checks and p.null_count:
             confidence = F.lit(round(max(0.0, 1.0 - p.null_rate), 4))
             if p.is_numeric:
                 fill = F.lit(round(rules.medians[c], 4))
-                out.append(Finding("null", c, null_like, confidence, number=fill))
+                out.append(Finding("null", c, parsed.empty(c), confidence, number=fill))
             else:
-                out.append(Finding("null", c, null_like, confidence, any_value=True))
+                out.append(Finding("null", c, parsed.empty(c), confidence, any_value=True))
         if "type_error" in checks and c in wrong_type and p.castable < p.present:
-            bad = ~null_like & number.isNull()
+            bad = ~parsed.empty(c) & parsed.number(c).isNull()
             middle = F.lit(rules.medians.get(c)).cast("double")
             out.append(Finding("type_error", c, bad, F.lit(1.0), number=middle))
         if "constraint" in checks and c in rules.positive and p.non_negative < p.castable:
-            negative = F.coalesce(number < 0, F.lit(False))
-            out.append(Finding("constraint", c, negative, F.lit(0.95), number=F.abs(number)))
+            number = parsed.number(c)
+            out.append(Finding("constraint", c, number < 0, F.lit(0.95), number=F.abs(number)))
         if "outlier" in checks and c in rules.fences:
             f = rules.fences[c]
             if p.min < f.low or p.max > f.high:
-                outside = F.coalesce((number < f.low) | (number > f.high), F.lit(False))
+                number = parsed.number(c)
+                outside = (number < f.low) | (number > f.high)
                 distance = F.greatest(number - F.lit(f.high), F.lit(f.low) - number)
                 score = F.round(F.lit(0.60) + distance / F.lit(f.iqr * 10.0 + 1e-9), 4)
                 middle = F.lit(round(f.middle, 4))
                 out.append(Finding("outlier", c, outside, F.least(F.lit(0.99), score), number=middle))
         if "whitespace" in checks and p.dtype in TEXTUAL and cells.is_text(t):
-            untidy = ~null_like & cells.is_untidy(col)
+            col = quoted(c)
+            untidy = ~parsed.empty(c) & cells.is_untidy(col)
             out.append(Finding("whitespace", c, untidy, F.lit(0.90), correct=cells.squeeze_blanks(col)))
         if "inconsistent_category" in checks and c in rules.dominant:
-            form = cells.strip_blanks(col)
+            form = parsed.stripped(c)
             variants = rules.dominant[c]
             right = F.lit(None).cast("string")
             for spelled, fixed in sorted(variants.items()):
                 right = F.when(form == spelled, F.lit(fixed)).otherwise(right)
-            variant = F.coalesce(form.isin(sorted(variants)), F.lit(False))
-            out.append(Finding("inconsistent_category", c, variant, F.lit(0.85), correct=right))
+            out.append(
+                Finding("inconsistent_category", c, form.isin(sorted(variants)), F.lit(0.85), correct=right)
+            )
     return out
 
 
@@ -284,13 +316,13 @@ def _as_issues(found: DataFrame, table: str) -> DataFrame:
 
 
 def detect_cells(df: DataFrame, rules: Rules, checks: Sequence[str]) -> DataFrame:
-    findings = cell_findings(df, rules, checks)
+    parsed = Parsed(df)
+    findings = cell_findings(parsed, rules, checks)
     if not findings:
         return empty_issues(df)
-    any_hit = reduce(lambda a, b: a | b, [f.applies for f in findings])
     hits = [F.when(f.applies, f.as_struct()) for f in findings]
     exploded = (
-        df.where(any_hit)
+        parsed.frame()
         .select(
             quoted(rules.profile.id_col).cast("long").alias("row_id"), F.explode(F.array(*hits)).alias("hit")
         )
@@ -458,7 +490,9 @@ def with_cell(issues: DataFrame, table: DataFrame, profile: TableProfile, id_col
     """Each issue with the current state of its cell.
 
     Adds present (the row exists), cell (text), cell_num and cell_null.  The
-    table joins once on the row id, in wide form; the cell is picked by name.
+    table is first reduced to the rows that have an issue, so a small issue
+    table is broadcast and the large one never moves; the cell is then picked
+    by name from the wide row.
     """
     types = types_of(table)
     id_col = id_col or profile.id_col
@@ -467,7 +501,7 @@ def with_cell(issues: DataFrame, table: DataFrame, profile: TableProfile, id_col
         quoted(id_col).cast("long").alias("row_id"),
         F.lit(True).alias("present"),
         *[quoted(c).alias(f"_{i}") for i, c in enumerate(names)],
-    )
+    ).join(issues.select("row_id"), "row_id", "left_semi")
     joined = issues.join(wide, "row_id", "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
     def pick(value, empty):

@@ -44,12 +44,14 @@ def extract(df: DataFrame, profile: TableProfile, column: str | None = None) ->
     """Lookup (id, label) of a column, and the table with a `{column}_ref` key.
 
     Values that differ only in case or padding share an entry, labelled and
-    numbered by first appearance.  The lookup has at most as many rows as the
-    column has distinct values (20 by selection), which bounds the broadcast.
+    numbered by first appearance.  The column has at most 20 distinct values,
+    which bounds the lookup and its broadcast.
     """
     column = column or pick_column(profile)
     if column is None:
         return None
+    if profile[column].unique_count not in FALLBACK_SIZES:
+        raise ValueError(f"Column '{column}' needs 2 to 20 distinct values to become a lookup.")
     t = types_of(df)[column]
     col = quoted(column)
     folded = cells.fold_key(col, t)

@@ -50,7 +50,11 @@ PROFILE_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class ColumnProfile:
-    """Statistics of one column; `None` marks what was not asked for."""
+    """Statistics of one column; `None` marks what was not asked for.
+
+    `hash_bits` (text only) counts how many of 64 hash slots the values fill: a
+    lower bound of the distinct count that costs one long per column.
+    """
 
     table: str
     column: str
@@ -59,7 +63,7 @@ class ColumnProfile:
     null_count: int
     castable: int
     non_negative: int
-    approx_unique: int
+    hash_bits: int | None = None
     unique_count: int | None = None
     mean: float | None = None
     std: float | None = None
@@ -160,7 +164,8 @@ def profile_table(
 ) -> TableProfile:
     """Profile every column of `df`.
 
-    `unique`, `medians` and `modes` take "all", a list of columns, or None.
+    `unique`, `medians` and `modes` take "all", a list of columns, or None;
+    `unique="approx"` uses sketches for all columns.
     """
     types = types_of(df)
     names = list(types)
@@ -187,7 +192,9 @@ def profile_table(
             F.max(x).alias(f"hi{i}"),
         ]
         if cells.is_text(t):
-            aggs.append(F.approx_count_distinct(present).alias(f"u{i}"))
+            slot = F.pmod(F.xxhash64(present), F.lit(64)).cast("int")
+            bit = F.when(F.col(present).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), slot))
+            aggs.append(F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).alias(f"u{i}"))
     r = df.select(*prepared).agg(*aggs).collect()[0].asDict()
 
     rows = r["rows"]
@@ -203,14 +210,17 @@ def profile_table(
             null_count=rows - present,
             castable=castable,
             non_negative=r.get(f"g{i}", 0),
-            approx_unique=r.get(f"u{i}", present),
+            hash_bits=r.get(f"u{i}"),
             mean=r.get(f"m{i}"),
             std=r.get(f"s{i}"),
             min=r.get(f"lo{i}"),
             max=r.get(f"hi{i}"),
         )
     profile = TableProfile(table, id_col, rows, columns)
-    if unique:
+    if unique == "approx":
+        for c, n in approx_unique_counts(df, names).items():
+            profile = profile.updated(c, unique_count=n)
+    elif unique:
         profile = with_unique_counts(df, profile, names if unique == "all" else unique)
     if medians:
         wanted = [c for c in names if columns[c].is_numeric] if medians == "all" else medians
@@ -232,6 +242,13 @@ def with_unique_counts(df: DataFrame, profile: TableProfile, columns: Sequence[s
     return profile
 
 
+def approx_unique_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Sketched distinct counts (5 % relative error) from one scan without a shuffle of values."""
+    counts = [F.approx_count_distinct(frequency.as_text(df, c)).alias(f"u{i}") for i, c in enumerate(columns)]
+    row = df.agg(*counts).collect()[0]
+    return {c: row[f"u{i}"] for i, c in enumerate(columns)}
+
+
 def order_statistics(df: DataFrame, profile: TableProfile, ranks: dict[str, list[int]], **kw):
     """Exact values at 0-based ranks of each column's castable values."""
     ranks = {c: k for c, k in ranks.items() if profile[c].castable}
@@ -344,8 +361,7 @@ def primary_key(df: DataFrame) -> str | None:
 def natural_key(df: DataFrame, profile: TableProfile) -> tuple[str | None, TableProfile]:
     """First non-float column with a key-like name and at least 70 % distinct values.
 
-    Distinct counts are only run on columns that could still qualify: the sketch
-    from the profile (5 % relative error) drops the ones far below the bar.
+    Distinct counts are only run on columns with such a name.
     """
     hinted = [
         p.column
@@ -354,7 +370,6 @@ def natural_key(df: DataFrame, profile: TableProfile) -> tuple[str | None, Table
         and any(h in p.column.lower() for h in KEY_HINTS)
         and p.row_count
         and p.present / p.row_count >= KEY_UNIQUENESS
-        and (p.unique_count is not None or p.approx_unique >= 0.45 * p.row_count)
     ]
     missing = [c for c in hinted if profile[c].unique_count is None]
     profile = with_unique_counts(df, profile, missing)

@@ -192,8 +192,9 @@ def apply_corrections(df: DataFrame, issues: DataFrame, id_col: str = "id") -> D
 def repair_in_place(df: DataFrame, rules: Rules, checks: Sequence[str] = detect.MEDIUM) -> DataFrame:
     """The corrections of the cell rules without an issue table: no join, no shuffle."""
     types = types_of(df)
+    parsed = detect.Parsed(df)
     found: dict[str, list[detect.Finding]] = {}
-    for f in detect.cell_findings(df, rules, checks):
+    for f in detect.cell_findings(parsed, rules, checks):
         found.setdefault(f.column, []).append(f)
     out = []
     for c in df.columns:
@@ -202,4 +203,4 @@ def repair_in_place(df: DataFrame, rules: Rules, checks: Sequence[str] = detect.
             # findings are in detection order, the later rule wins
             col = F.when(f.applies, cells.as_column_type(f.replacement(), types[c])).otherwise(col)
         out.append(col.alias(c))
-    return df.select(*out)
+    return parsed.frame().select(*out)

@@ -14,6 +14,8 @@ SETTINGS = {
     # "col" is an identifier, as in standard SQL, not a string literal
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.ui.enabled": "false",
+    # no call-site capture for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
