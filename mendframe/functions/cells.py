@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 # The text forms accepted as a number, and the characters treated
 # as blank space (Unicode white space and the four separators 1c-1f).
-NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
 ODD_BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -23,8 +23,9 @@ BLANKS = " " + ODD_BLANKS
 # the same characters as pattern ranges
 _ODD_RANGES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ANY_ODD_BLANK = f"[{_ODD_RANGES}]"
-BLANK_RUN = f"[ {_ODD_RANGES}]+"
-BLANK_ONLY = f"^[ {_ODD_RANGES}]*$"
+# a run of blanks that is not one plain space already
+BLANK_RUN = f"[{_ODD_RANGES}][ {_ODD_RANGES}]*| [ {_ODD_RANGES}]+"
+BLANK_ONLY = rf"^[ {_ODD_RANGES}]*\z"
 LARGEST = 1.7976931348623157e308
 
 MATCH_TOLERANCE = 1e-4

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1 << 16
-EXACT_UP_TO = 2_000_000
+EXACT_UP_TO = 200_000
 
 
 @dataclass

@@ -327,7 +327,7 @@ def coerce_types_query(spark, sf_dir):
     """SELECT row_number() over (order by c_custkey) AS id, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
 )
 def ensure_id_query(spark, sf_dir):
-    return ensure_id(inputs.table(spark, sf_dir, "customer"))
+    return ensure_id(inputs.table(spark, sf_dir, "customer"), scanned=True)
 
 
 def _round_trip(fmt):
