@@ -116,17 +116,36 @@ def ml_columns(profile: TableProfile) -> tuple[str | None, list[str]]:
 
 def _training_accuracy(df: DataFrame, target: str, features: list[str]) -> float | None:
     types = types_of(df)
+    names = [f"f{i}" for i in range(len(features))]
     data = df.where(quoted(target).isNotNull()).select(
         quoted(target).cast("string").alias("target"),
-        *[F.coalesce(cells.to_number(quoted(c), types[c]), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(features)],
+        *[
+            F.coalesce(cells.to_number(quoted(c), types[c]), F.lit(0.0)).alias(n)
+            for c, n in zip(features, names, strict=True)
+        ],
     )
     if data.limit(10).count() < 10:
         return None
-    vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="features").transform(data)
-    labelled = StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(vectors).transform(vectors)
-    train = labelled.select("features", "label")
-    model = LogisticRegression(maxIter=100, regParam=0.0).fit(train)
-    return model.transform(train).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    indexer = StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc").fit(data)
+    train = VectorAssembler(inputCols=names, outputCol="features").transform(indexer.transform(data))
+    model = LogisticRegression(maxIter=100, regParam=0.0).fit(train.select("features", "label"))
+    # the fitted model as plain expressions: one scan, no vectors
+    predicted = _predicted_label(model, names, indexer.labels)
+    return data.agg(F.avg((F.col("target") == predicted).cast("double"))).first()[0]
+
+
+def _predicted_label(model, names: list[str], labels: list[str]) -> Column:
+    def margin(weights, intercept):
+        return reduce(lambda a, b: a + b, [F.col(n) * float(w) for n, w in zip(names, weights, strict=True)]) + F.lit(
+            float(intercept)
+        )
+
+    rows, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    if len(rows) == 1:
+        return F.when(margin(rows[0], intercepts[0]) > 0, F.lit(labels[-1])).otherwise(F.lit(labels[0]))
+    margins = F.array(*[margin(w, b) for w, b in zip(rows, intercepts, strict=True)])
+    best = F.array_position(margins, F.array_max(margins)).cast("int")
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), best)
 
 
 def ml_band(delta: float) -> float:
