@@ -8,9 +8,11 @@ that shuffle, on pre-aggregated keys.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,7 +124,18 @@ def learn(
             *(quantiles.median_ranks(n) if c in want_median else ()),
             *(quantiles.quartile_ranks(n) if c in want_fence else ()),
         ]
-    at = prof.order_statistics(df, profile, ranks, exact_up_to=exact_up_to)
+    # three independent passes: their jobs overlap, and each result is small
+    with ThreadPoolExecutor(3) as pool:
+
+        def start(fn, *args, **kw):
+            return pool.submit(inheritable_thread_target(df.sparkSession)(fn), *args, **kw)
+
+        statistics = start(prof.order_statistics, df, profile, ranks, exact_up_to=exact_up_to)
+        variants = start(lambda: category_variants(df, profile).collect()) if "inconsistent_category" in checks else None
+        natural = start(prof.natural_key, df, profile) if "duplicate" in checks else None
+        at = statistics.result()
+        variant_rows = variants.result() if variants else []
+        key, profile = natural.result() if natural else (None, profile)
 
     medians, fences = {}, {}
     for c in sorted(want_median):
@@ -136,12 +149,8 @@ def learn(
             fences[c] = Fence(q1 - FENCE * iqr, q3 + FENCE * iqr, q2, iqr)
 
     dominant: dict[str, dict[str, str]] = {}
-    if "inconsistent_category" in checks:
-        for r in category_variants(df, profile).collect():
-            dominant.setdefault(r["column"], {})[r["form"]] = r["dominant"]
-    key = None
-    if "duplicate" in checks:
-        key, profile = prof.natural_key(df, profile)
+    for r in variant_rows:
+        dominant.setdefault(r["column"], {})[r["form"]] = r["dominant"]
     return Rules(profile, medians, fences, dominant, positive_columns(profile, force_positive), key)
 
 

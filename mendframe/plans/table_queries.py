@@ -124,21 +124,38 @@ def join_match_rate(spark, sf_dir):
     return out
 
 
+_CHOSEN = """SELECT '{pair}' AS pair, '{key}' AS key, (SELECT count(*) FROM {a} x LEFT JOIN {b} y ON {on}) AS rows_joined,
+ (SELECT round(count(*) filter (where exists (SELECT 1 FROM {b} y WHERE {on}))*1.0/count(*),4)::DOUBLE FROM {a} x) AS match_rate"""
+
+
 @register(
     "join_key_choice",
-    """SELECT 'events-orders' AS pair, 'ts' AS key UNION ALL SELECT 'customer-renamed', 'c_name'
- UNION ALL SELECT 'labels-documents', 'doc_id'""",
+    " UNION ALL ".join(
+        [
+            _CHOSEN.format(pair="labels-documents", key="doc_id", a="labels", b="documents", on="x.doc_id=y.doc_id"),
+            _CHOSEN.format(pair="customer-customer", key="c_name", a="customer", b="customer", on="x.c_name=y.c_name"),
+            _CHOSEN.format(
+                pair="events-orders", key="event_id", a="events", b="orders", on="x.event_id=y.o_orderkey"
+            ),
+        ]
+    ),
 )
 def join_key_choice(spark, sf_dir):
-    """The key picked for pairs of the given tables, from their columns."""
+    """Pairs of tables joined on the key picked from their columns."""
     t = {n: inputs.table(spark, sf_dir, n) for n in ("events", "orders", "customer", "labels", "documents")}
     renamed = t["customer"].withColumnRenamed("c_custkey", "id")
-    rows = [
-        ("events-orders", query.shared_key(t["events"].columns[1:], t["orders"].columns)),
-        ("customer-renamed", query.shared_key(renamed.columns, renamed.columns)),
-        ("labels-documents", query.shared_key(t["labels"].columns, t["documents"].columns)),
-    ]
-    return spark.createDataFrame(rows, "pair string, key string")
+    out = None
+    for pair, a, b in (
+        ("labels-documents", t["labels"], t["documents"]),
+        ("customer-customer", renamed, renamed),
+        ("events-orders", t["events"], t["orders"]),
+    ):
+        key = query.shared_key(a.columns, b.columns)
+        row = query.join_tables(a, b, key).diagnostics.select(
+            F.lit(pair).alias("pair"), F.lit(key).alias("key"), "rows_joined", "match_rate"
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register(

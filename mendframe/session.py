@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without the setting gets a temporary folder; a cluster
     without it is an error, because executors could not see the files.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
