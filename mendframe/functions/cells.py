@@ -20,12 +20,12 @@ ODD_BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 BLANKS = " " + ODD_BLANKS
-# the same characters as pattern ranges
-_ODD_RANGES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-ANY_ODD_BLANK = f"[{_ODD_RANGES}]"
-# a run of blanks that is not one plain space already
-BLANK_RUN = f"[{_ODD_RANGES}][ {_ODD_RANGES}]*| [ {_ODD_RANGES}]+"
-BLANK_ONLY = rf"^[ {_ODD_RANGES}]*\z"
+# the same characters as patterns: one-byte ones, the range that holds the others
+# (a cheap first test), and the others themselves
+NARROW_ODD_BLANK = r"[\t-\r\x1c-\x1f\x85\xa0]"
+WIDE_RANGE = r"[\u1680-\u3000]"
+WIDE_ODD_BLANK = r"[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANK_ONLY = r"^[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*\z"
 LARGEST = 1.7976931348623157e308
 
 MATCH_TOLERANCE = 1e-4
@@ -93,9 +93,15 @@ def is_whole(number: Column) -> Column:
     return (number % 1) == 0
 
 
+def has_odd_blank(col: Column) -> Column:
+    """Any blank other than the plain space."""
+    return col.rlike(NARROW_ODD_BLANK) | (col.rlike(WIDE_RANGE) & col.rlike(WIDE_ODD_BLANK))
+
+
 def squeeze_blanks(col: Column) -> Column:
     """One plain space between words, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(col, BLANK_RUN, " "), "^ | $", "")
+    plain = F.translate(col, ODD_BLANKS, " " * len(ODD_BLANKS))
+    return F.trim(F.regexp_replace(plain, "  +", " "))
 
 
 def is_untidy(col: Column) -> Column:
@@ -104,15 +110,13 @@ def is_untidy(col: Column) -> Column:
     That is a space at an end, two spaces in a row, or any other blank.
     """
     space = F.lit(" ")
-    found = (
-        F.startswith(col, space) | F.endswith(col, space) | F.contains(col, F.lit("  ")) | col.rlike(ANY_ODD_BLANK)
-    )
+    found = F.startswith(col, space) | F.endswith(col, space) | F.contains(col, F.lit("  ")) | has_odd_blank(col)
     return F.coalesce(found, F.lit(False))
 
 
 def strip_blanks(col: Column) -> Column:
     """Both ends trimmed; the general trim only runs on text with unusual blanks."""
-    return F.when(col.rlike(ANY_ODD_BLANK), F.btrim(col, F.lit(BLANKS))).otherwise(F.trim(col))
+    return F.when(has_odd_blank(col), F.btrim(col, F.lit(BLANKS))).otherwise(F.trim(col))
 
 
 def fold_key(col: Column, dtype: T.DataType) -> Column:
