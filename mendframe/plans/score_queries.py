@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from mendframe.operators import detect, outcome, profile as prof, repair, score, validate
 from mendframe.plans import check_sql as sql, inputs
-from mendframe.plans.profile_queries import OPEN, PARTS, REMAINING, orders_scan
+from mendframe.plans.profile_queries import PARTS, REMAINING, orders_scan
 from mendframe.plans.registry import register
 
-__all__ = ["OPEN"]
-
 # -- validation --------------------------------------------------------------
 
 # state of the cleaned table, per column that a check looks at
