@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,13 +15,16 @@ SETTINGS = {
     # "col" is an identifier, as in standard SQL, not a string literal
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # no call-site capture for every column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "mendframe") -> SparkSession:
+    """A session on this machine, with a shared folder of its own (all its tasks run here)."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="mendframe-"))
     builder = builder.config("spark.driver.memory", memory)
     partitions = cpus if isinstance(cpus, int) else 8
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
@@ -32,19 +36,23 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "mendframe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read, as the cluster names it.
+    """The folder every executor can read, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only a local session without the setting gets a temporary folder; a cluster
-    without it is an error, because executors could not see the files.
+    Only a session whose tasks all run in this process may do without the setting;
+    it gets one temporary folder.  Anywhere else executors would not see the files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="mendframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="mendframe-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
