@@ -10,7 +10,8 @@ A source is dealt to cells of about `CELL` documents.  A cell leaves one fractio
 document at most; residuals of `FAN` cells meet in a cell of the next level, and so on
 up a reduction tree whose root leaves one document, rounded at random.  A hot
 source has more cells and more levels, never a larger group.  Documents go through
-a cell from long to short, so what is left is small.
+a cell from long to short; what a size class leaves is paired with all smaller
+documents at once, so that what is left at last is small.
 
 Cases: NULL texts have size zero and take nothing, NULL is the last source, a
 source without words has target zero, rows that repeat an id are documents of
@@ -65,6 +66,37 @@ def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarr
     return p
 
 
+def pivot_by_size(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """`pivot` over sizes in descending order, one power of two after the other.
+
+    What a class leaves is paired with all smaller documents together: it becomes
+    integral, and they share the mass it takes or gives, as far as theirs suffices.
+    So the one that is left at last is small, and the total comes near its target.
+    """
+    p = p.astype(float).copy()
+    size = size.astype(float)
+    edges = np.flatnonzero(np.diff(np.frexp(size)[1])) + 1
+    held = np.zeros(0, dtype=int)
+    for start, end in zip([0, *edges], [*edges, len(p)], strict=True):
+        own = np.concatenate([held, np.arange(start, end)])
+        p[own] = pivot(size[own], p[own], rng)
+        held = own[(p[own] > 0) & (p[own] < 1)]
+        rest = slice(end, len(p))
+        if len(held) and end < len(p):
+            r = held[0]
+            take, give = (1 - p[r]) * size[r], p[r] * size[r]
+            mass, slack = (p[rest] * size[rest]).sum(), ((1 - p[rest]) * size[rest]).sum()
+            if take < mass and give < slack:
+                if rng.random() < p[r]:
+                    p[rest] *= 1 - take / mass
+                    p[r] = 1.0
+                else:
+                    p[rest] += (1 - p[rest]) * (give / slack)
+                    p[r] = 0.0
+                held = held[:0]
+    return p
+
+
 def source_targets(stored: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, n, source_size, target) of stored (source, size) rows, itself stored."""
     sums = stored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
@@ -119,7 +151,7 @@ def round_copies(stored: DataFrame, seed: int = SEED, cell: int = CELL, fan: int
         def settle(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
             rng = np.random.default_rng([seed, zlib.crc32(group["key"].iloc[0].encode()), int(group["cell"].iloc[0]), here])  # noqa: B023
-            p = pivot(group["size"].to_numpy(), group["p"].to_numpy(), rng)
+            p = pivot_by_size(group["size"].to_numpy(), group["p"].to_numpy(), rng)
             if group["cells"].iloc[0] == 1:  # the root
                 p = np.where((p > 0) & (p < 1), rng.random() < p, p)
             return group.assign(p=p.astype(float))
