@@ -18,6 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -84,15 +85,20 @@ Event = tuple[str, str, dict]
 def events(page: str) -> Iterator[Event]:
     """("open", tag, attributes), ("text", text, {}) and ("close", tag, {}) in tree order, always balanced."""
     stack: list[str] = []
+    opened: Counter[str] = Counter()  # how often each tag is in the stack: most searches need not begin
     at, n = 0, len(page)
 
     def close_to(k: int) -> Iterator[Event]:
         while len(stack) > k:
-            yield "close", stack.pop(), {}
+            tag = stack.pop()
+            opened[tag] -= 1
+            yield "close", tag, {}
 
     def closing(tags: set[str], walls) -> int:
         """Where the outermost of `tags` stands above the last wall; the height of the stack if there is none."""
         found = len(stack)
+        if not any(map(opened.__getitem__, tags)):
+            return found
         for k in range(len(stack) - 1, -1, -1):
             if stack[k] in tags:
                 found = k
@@ -115,7 +121,7 @@ def events(page: str) -> Iterator[Event]:
                 yield "close", "br", {}
                 continue
             walls = () if tag == "table" else {"table"} if tag in CELL or tag in ROWS or tag in ("tr", "caption") else WALL - {tag}
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k] == tag:
                     yield from close_to(k)
                     break
@@ -127,18 +133,20 @@ def events(page: str) -> Iterator[Event]:
                 yield from close_to(closing(*CLOSES[tag]))
             elif stack and stack[-1] == "head" and tag not in HIDDEN:
                 yield from close_to(len(stack) - 1)
-            if tag in BLOCK and "p" in stack:
+            if tag in BLOCK and opened["p"]:
                 yield from close_to(closing({"p"}, WALL))
             if tag in ("tr", "td", "th"):  # what a table needs above a cell
                 inside = closing({"table"}, ())
                 if inside < len(stack) and tag in CELL and "tr" not in stack[inside:]:
                     stack.append("tr")
+                    opened["tr"] += 1
                     yield "open", "tr", {}
             yield "open", tag, attributes(rest) if rest and not rest.isspace() else {}
             if tag in VOID:
                 yield "close", tag, {}
                 continue
             stack.append(tag)
+            opened[tag] += 1
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 stop = end.start() if end else n
