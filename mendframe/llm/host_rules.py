@@ -85,9 +85,9 @@ def base_failed() -> Column:
     return few | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
 
 
-def host_rates(stored: DataFrame) -> DataFrame:
-    """(host, n, failed, rate): failures of stored (host, base_failed) rows, shrunk by the empirical prior."""
-    hosts = materialize(stored.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
+def host_rates(rows: DataFrame) -> DataFrame:
+    """(host, n, failed, rate): failures of (host, base_failed) rows, shrunk by the empirical prior."""
+    hosts = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
     # moments need only sums over hosts
     k, n, f, nn, ffn = hosts.agg(
         F.count(F.lit(1)), F.sum("n"), F.sum("failed"), F.sum(F.col("n").cast("double") * F.col("n")), F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n"))
@@ -110,10 +110,14 @@ def prior(hosts: int, n: int, failed: int, n_squares: float, weighted_squares: f
     return mean * strength, (1 - mean) * strength
 
 
+def rejected(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """(_host): the hosts whose shrunken rate is too high, stored."""
+    return materialize(host_rates(rows).where(F.col("rate") > max_rate).select(F.col("host").alias("_host")), "hosts-rejected")
+
+
 def judge(stored: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """Stored rows with `host` and `base_failed`, and `kept`."""
-    bad = materialize(host_rates(stored).where(F.col("rate") > max_rate).select(F.col("host").alias("_host")), "hosts-rejected")
-    marked = stored.join(bad.withColumn("_bad", F.lit(True)), F.col("host") == F.col("_host"), "left")
+    marked = stored.join(rejected(stored, max_rate).withColumn("_bad", F.lit(True)), F.col("host") == F.col("_host"), "left")
     return marked.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
 
 
@@ -125,7 +129,11 @@ def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of `docs` that are kept, with their own columns."""
+    """The rows of `docs` that are kept, with their own columns.
+
+    Features are computed for the host sums and again for the verdicts: cheaper than storing every text once more.
+    """
     rows = docs.select(F.struct("*").alias("whole"), null_key(host_col).alias("host"), features(F.col(text_col)).alias("f"))
     rows = rows.select("whole", "host", "f.n_words", "f.n_repeat_words").withColumn("base_failed", base_failed())
-    return judge(materialize(rows, "host-rows"), max_rate).where("kept").select("whole.*")
+    bad = rejected(rows.select("host", "base_failed"), max_rate)
+    return rows.where(~F.col("base_failed")).join(bad, F.col("host") == F.col("_host"), "left_anti").select("whole.*")

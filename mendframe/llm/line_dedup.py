@@ -7,14 +7,13 @@ it; lines near the threshold get an exact distinct count, and only their rows ar
 shuffled for it.  Boilerplate lines leave every document but the one with the
 smallest id that has them, where the first occurrence stays, so no text vanishes altogether.
 
-Rows are stored once with their line hashes, after which every join is by narrow
-keys between stored tables: hot lines are split by AQE, a document gathers only
-the positions of its own lines.
+Line hashes are stored once, without texts; every join is by narrow keys with a
+stored table: hot lines are split by AQE, a document gathers only the positions
+of its own lines, and texts move once at most, to meet those positions.
 
 Cases: lines are compared without blanks at their ends, blank lines never leave, a
 NULL text stays NULL, NULL is a site of its own, a NULL id is larger than any
-other, of rows that repeat the smallest id one keeps the line, an empty table
-gives no rows.
+other, equal rows are treated alike, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import null_key
+from mendframe.llm.common import meets, with_keys
 from mendframe.session import materialize
 
 MIN_SITES = 10
@@ -44,7 +43,7 @@ def line_hashes(text: Column) -> Column:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(h): hashes of the stored lines (h, site) that appear on `min_sites` sites or more."""
+    """(h): hashes of the lines (h, site) that appear on `min_sites` sites or more."""
     error = 3 * 1.04 / 2 ** (lg_k / 2)
     sketched = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
     spread = sketched.where(F.col("n") >= min_sites).select("h", F.hll_sketch_estimate("sketch").alias("sites"))
@@ -73,25 +72,20 @@ def clean_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K
 ) -> DataFrame:
     """(whole, clean, n_lines, n_removed): each row of `docs` as a struct, its text without boilerplate, its line counts."""
-    stored = materialize(
-        docs.select(
-            F.struct("*").alias("whole"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col(id_col).alias("id"),
-            F.xxhash64(null_key(site_col)).alias("site"),
-            F.col(text_col).alias("text"),
-            line_hashes(F.col(text_col)).alias("hashes"),
-        ),
-        "line-rows",
-    )
-    lines = stored.select("row", "id", "site", F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL")
+    rows = with_keys(docs)
+    whole, text = F.col("whole"), F.col("whole").getField(text_col)
+    site = F.xxhash64(F.coalesce(F.concat(F.lit("="), whole.getField(site_col).cast("string")), F.lit("")))
+    hashed = rows.select("k1", "k2", whole.getField(id_col).alias("id"), site.alias("site"), line_hashes(text).alias("hashes"))
+    hashed = materialize(hashed, "line-hashes")
+    lines = hashed.select("k1", "k2", "id", "site", F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL")
     spread = boilerplate(lines, min_sites, lg_k).select(F.col("h").alias("_h"))
-    hits = materialize(lines.join(spread, F.col("h") == F.col("_h")).select("h", "row", "id", "pos"), "line-hits")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")).alias("first")
+    hits = materialize(lines.join(spread, meets("h")).select("h", "k1", "k2", "id", "pos"), "line-hits")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "pos")).alias("first")
     firsts = materialize(hits.groupBy(F.col("h").alias("_h")).agg(first), "line-firsts")
-    extra = hits.join(firsts, F.col("h") == F.col("_h")).where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
-    drops = materialize(extra.groupBy(F.col("row").alias("_row")).agg(F.collect_list("pos").alias("drop")), "line-drops")
-    joined = stored.drop("hashes").join(drops, F.col("row") == F.col("_row"), "left")
+    stays = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("pos") == F.col("first.pos"))
+    extra = hits.join(firsts, meets("h")).where(~stays)
+    drops = extra.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.collect_set("pos").alias("drop"))
+    joined = rows.join(materialize(drops, "line-drops"), meets("k1", "k2"), "left").select("whole", text.alias("text"), "drop")
     # only texts that lose a line go to Python
     cut = _without(F.when(F.col("drop").isNotNull(), F.col("text")), F.col("drop"))
     clean = F.when(F.col("drop").isNull(), F.col("text")).otherwise(cut)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import WORD, null_key
+from mendframe.llm.common import WORD, meets, null_key, with_keys
 from mendframe.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -128,18 +128,18 @@ def source_targets(stored: DataFrame, share: float = SHARE, most: float = MOST,
 
 
 def round_copies(stored: DataFrame, seed: int = SEED, cell: int = CELL, fan: int = FAN, **shares) -> DataFrame:
-    """Stored (row, doc_id, source, size) with source_size, target and whole `copies`."""
+    """Stored (k1, k2, doc_id, source, size) with source_size, target and whole `copies`."""
     targets = source_targets(stored, **shares).select(F.col("source").alias("_source"), "n", "source_size", "target")
     joined = stored.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long"))
     joined = joined.withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(0.0))
     joined = joined.withColumn("key", null_key("source")).withColumn("cells", F.ceil(F.col("n") / F.lit(cell)).cast("long"))
-    joined = joined.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.col("cells")))
+    joined = joined.withColumn("cell", F.pmod(F.col("k2"), F.col("cells")))
     # ids go through pandas as text: NULL and long ids stay what they are
     id_type = stored.schema["doc_id"].dataType
     joined = joined.withColumn("doc_id", F.col("doc_id").cast("string"))
-    columns = ["row", "doc_id", "source", "size", "source_size", "target", "base", "p"]
+    columns = ["k1", "k2", "doc_id", "source", "size", "source_size", "target", "base", "p"]
     level = materialize(joined.select(*columns, "key", "cells", "cell"), "mix-level")
     kind = {f.name: f.dataType.simpleString() for f in level.schema}
     schema = ", ".join(f"{c} {kind[c]}" for c in level.columns)
@@ -149,7 +149,7 @@ def round_copies(stored: DataFrame, seed: int = SEED, cell: int = CELL, fan: int
         here = depth
 
         def settle(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
+            group = group.sort_values(["size", "k1", "k2"], ascending=[False, True, True], kind="stable")
             rng = np.random.default_rng([seed, zlib.crc32(group["key"].iloc[0].encode()), int(group["cell"].iloc[0]), here])  # noqa: B023
             p = pivot_by_size(group["size"].to_numpy(), group["p"].to_numpy(), rng)
             if group["cells"].iloc[0] == 1:  # the root
@@ -171,33 +171,29 @@ def round_copies(stored: DataFrame, seed: int = SEED, cell: int = CELL, fan: int
     for part in decided[1:]:
         out = out.unionByName(part)
     doc_id = F.col("doc_id").cast(id_type).alias("doc_id")
-    return out.select("row", doc_id, "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("long").alias("copies"))
-
-
-def _sized(docs: DataFrame, *more, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Rows with a number of their own, given once, when they are stored."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        size.alias("size"),
-        *more,
+    return out.select("k1", "k2", doc_id, "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("long").alias("copies"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(k1, k2, doc_id, source, size) of every row, stored."""
+    whole = F.col("whole")
+    size = F.coalesce(F.regexp_count(whole.getField(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = with_keys(docs).select(
+        "k1", "k2", whole.getField(id_col).alias("doc_id"), whole.getField(source_col).cast("string").alias("source"), size.alias("size")
     )
     return materialize(rows, "mix-rows")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of `docs`."""
-    stored = _sized(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    copies = round_copies(stored, **options)
+    copies = round_copies(_sized(docs, id_col, text_col, source_col), **options)
     return copies.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of `docs`, each as often as it is taken."""
-    stored = _sized(docs, F.struct("*").alias("whole"), id_col=id_col, text_col=text_col, source_col=source_col)
-    copies = round_copies(stored.select("row", "doc_id", "source", "size"), **options)
-    taken = materialize(copies.where("copies > 0").select(F.col("row").alias("_row"), "copies"), "mix-copies")
-    joined = stored.select("row", "whole").join(taken, F.col("row") == F.col("_row"))
-    return joined.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("whole.*")
+    """The mix itself: rows of `docs`, each as often as it is taken (equal rows: as often as they are together)."""
+    copies = round_copies(_sized(docs, id_col, text_col, source_col), **options)
+    taken = copies.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    joined = with_keys(docs).join(materialize(taken, "mix-copies"), meets("k1", "k2"))
+    once = joined.groupBy("k1", "k2").agg(F.first("whole").alias("whole"), F.first("copies").alias("copies"))
+    return once.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("whole.*")

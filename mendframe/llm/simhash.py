@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendframe.llm.common import meets, with_keys
 from mendframe.session import materialize
 
 SEED = 42
@@ -132,8 +133,8 @@ def connected(edges: DataFrame) -> DataFrame | None:
 
 
 def label(stored: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(fp, first): for each fingerprint of the stored (doc_id, fp, row), the smallest (id, row) of its component."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row")))
+    """(fp, first): for each fingerprint of the stored (doc_id, fp, k1, k2), the smallest (id, k1, k2) of its component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("k1"), F.col("k2")))
     nodes = materialize(stored.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
     roots = connected(links(nodes, radius, bucket))
     if roots is None:
@@ -145,7 +146,7 @@ def label(stored: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), F.lit(0).cast("long").alias("row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *[F.lit(0).cast("long").alias(k) for k in ("k1", "k2")])
     stored = materialize(rows, "simhash-rows")
     labels = label(stored, radius, bucket).select(F.col("fp").alias("_fp"), "first")
     return stored.join(labels, F.col("fp") == F.col("_fp")).select(
@@ -158,15 +159,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays.
 
-    Rows get numbers once, when they are stored; of rows that repeat the smallest id one stays.
+    Of rows that repeat the smallest id in other columns one stays; of equal rows, one.
     """
-    rows = docs.select(
-        F.struct("*").alias("whole"),
-        F.col(id_col).alias("doc_id"),
-        fingerprints(F.col(text_col)).alias("fp"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    stored = materialize(rows, "simhash-whole")
-    labels = label(stored.select("doc_id", "fp", "row"), radius, bucket)
-    chosen = materialize(labels.select(F.col("first.row").alias("_row")).distinct(), "simhash-chosen")
-    return stored.join(chosen, F.col("row") == F.col("_row"), "left_semi").select("whole.*")
+    rows = with_keys(docs)
+    printed = rows.select(F.col("whole").getField(id_col).alias("doc_id"), fingerprints(F.col("whole").getField(text_col)).alias("fp"), "k1", "k2")
+    labels = label(materialize(printed, "simhash-rows"), radius, bucket)
+    chosen = labels.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")).distinct()
+    kept = rows.join(materialize(chosen, "simhash-chosen"), meets("k1", "k2"), "left_semi")
+    return kept.groupBy("k1", "k2").agg(F.first("whole").alias("whole")).select("whole.*")
