@@ -7,6 +7,8 @@ depends on it.  No function triggers a job.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +28,6 @@ NARROW_ODD_BLANK = r"[\t-\r\x1c-\x1f\x85\xa0]"
 WIDE_RANGE = r"[\u1680-\u3000]"
 WIDE_ODD_BLANK = r"[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BLANK_ONLY = r"^[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*\z"
-LARGEST = 1.7976931348623157e308
 
 MATCH_TOLERANCE = 1e-4
 
@@ -71,12 +72,11 @@ def to_number(col: Column, dtype: T.DataType) -> Column:
 
     Text goes through the pattern first: a plain cast would accept '1d' or
     'Infinity', and would pay for an exception on every ordinary word.  Text
-    beyond the range of a double counts as the largest one.
+    beyond the range of a double is no number.
     """
     if is_text(dtype):
-        # the pattern guarantees a number, so the bounds cannot replace a NULL
-        number = F.least(F.greatest(col.try_cast("double"), F.lit(-LARGEST)), F.lit(LARGEST))
-        return F.when(col.rlike(NUMERIC_TEXT), number)
+        number = col.try_cast("double")
+        return F.when(col.rlike(NUMERIC_TEXT) & (F.abs(number) < F.lit(float("inf"))), number)
     if can_be_nan(dtype):
         # NaN sorts above infinity, so it fails this test as well
         return F.when(F.abs(col) < F.lit(float("inf")), col.cast("double"))
@@ -158,15 +158,29 @@ def as_column_type(value: Column, target: T.DataType) -> Column:
 
     Whole numbers written as '28.0' must fit an integer column, so integral
     targets fall back from a direct cast (which keeps large longs exact) to the
-    number, rounded when it is not whole.
+    number if it is whole.  A value that does not fit gives NULL; `widened` makes
+    room for numbers that are not whole.
     """
     if is_text(target):
         return value.cast("string")
     if is_integral(target):
-        return F.coalesce(value.try_cast(target), F.round(value.try_cast("double")).try_cast(target))
+        number = value.try_cast("double")
+        return F.when(is_whole(number), F.coalesce(value.try_cast(target), number.try_cast(target)))
     return value.try_cast(target)
 
 
+def widened(types: Mapping[str, T.DataType], values: Mapping[str, object]) -> dict[str, T.DataType]:
+    """Column types in which integral columns that get a number that is not whole are doubles."""
+
+    def split(value) -> bool:
+        try:
+            return float(value) % 1 != 0 and abs(float(value)) != float("inf")
+        except (TypeError, ValueError):
+            return False
+
+    return {c: T.DoubleType() if c in values and is_integral(t) and split(values[c]) else t for c, t in types.items()}
+
+
 def round_to(col: Column, digits: int) -> Column:
     """Half-up rounding on the decimal value.
 

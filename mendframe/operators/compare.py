@@ -12,21 +12,27 @@ from mendframe.operators.frequency import quoted, types_of
 def changes(before: DataFrame, after: DataFrame, id_col: str = "id") -> DataFrame:
     """(row_id, column, change, before, after).
 
-    `changed` has one row per differing cell; a row on one side only gives one
+    `changed` has one row per differing cell, and one per filled cell of a column
+    that `before` lacks; `dropped` has one per filled cell of a column that `after`
+    lacks; a row on one side only gives one
     `removed` or `added` row without a column.  The versions join once on the
     id in wide form, and only differing cells are unfolded.
     """
     b_types, a_types = types_of(before), types_of(after)
     shared = [c for c in after.columns if c in b_types and c != id_col]
+    gained = [c for c in after.columns if c not in b_types and c != id_col]
+    lost = [c for c in before.columns if c not in a_types and c != id_col]
     left = before.select(
         quoted(id_col).cast("long").alias("row_id"),
         F.lit(True).alias("_in_before"),
         *[quoted(c).alias(f"_b{i}") for i, c in enumerate(shared)],
+        *[quoted(c).alias(f"_l{i}") for i, c in enumerate(lost)],
     )
     right = after.select(
         quoted(id_col).cast("long").alias("row_id"),
         F.lit(True).alias("_in_after"),
         *[quoted(c).alias(f"_a{i}") for i, c in enumerate(shared)],
+        *[quoted(c).alias(f"_g{i}") for i, c in enumerate(gained)],
     )
     joined = left.join(right, "row_id", "full")
     both = F.col("_in_before") & F.col("_in_after")
@@ -50,6 +56,13 @@ def changes(before: DataFrame, after: DataFrame, id_col: str = "id") -> DataFram
         differs = ~F.coalesce(b.eqNullSafe(a), F.lit(False)) if b_types[c] == a_types[c] else F.lit(True)
         differs = F.coalesce(both, F.lit(False)) & differs & ~cells.values_match(b, b_types[c], a, a_types[c])
         found.append(F.when(differs, entry(F.lit(c), "changed", b, a)))
+    shown = F.coalesce(both, F.lit(False))
+    for i, c in enumerate(gained):
+        new = F.col(f"_g{i}")
+        found.append(F.when(shown & cells.not_null_like(new, a_types[c]), entry(F.lit(c), "changed", nothing, new)))
+    for i, c in enumerate(lost):
+        old = F.col(f"_l{i}")
+        found.append(F.when(shown & cells.not_null_like(old, b_types[c]), entry(F.lit(c), "dropped", old, nothing)))
     return (
         joined.select("row_id", F.explode(F.array(*found)).alias("x"))
         .where(F.col("x").isNotNull())
@@ -59,4 +72,4 @@ def changes(before: DataFrame, after: DataFrame, id_col: str = "id") -> DataFram
 
 def cell_diff(before: DataFrame, after: DataFrame, id_col: str = "id") -> DataFrame:
     """(row_id, column, before, after) of every cell whose value changed."""
-    return changes(before, after, id_col).where(F.col("change") == "changed").drop("change")
+    return changes(before, after, id_col).where(F.col("change").isin("changed", "dropped")).drop("change")

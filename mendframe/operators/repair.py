@@ -28,11 +28,12 @@ FIX_SCHEMA = "row_id long, column string, value string, step long"
 
 @dataclass(frozen=True)
 class FixReport:
-    """Outcome of a batch of cell fixes, as tables."""
+    """Outcome of a batch of cell fixes, as tables; `rejected` holds values that do not fit their column."""
 
     table: DataFrame
     unknown_rows: DataFrame
     unknown_columns: DataFrame
+    rejected: DataFrame
 
 
 def fixes_per_row(fixes: DataFrame) -> DataFrame:
@@ -51,11 +52,13 @@ def fixes_per_row(fixes: DataFrame) -> DataFrame:
 def apply_fixes(df: DataFrame, fixes: DataFrame, id_col: str = "id") -> DataFrame:
     """`df` with the cells named in `fixes(row_id, column, value[, step])` replaced.
 
-    A NULL value empties the cell.  Values take the type of their column; fixes
-    for unknown rows or columns have no effect (see `fix_report`).
+    A NULL value empties the cell.  Values take the type of their column, and an
+    integral column becomes double when a fix is not whole.  Fixes for unknown rows
+    or columns and values that do not fit have no effect (see `fix_report`).
     """
     types = types_of(df)
     known = [c for c in df.columns if c != id_col]
+    targets = _targets(df, fixes, known)
     per_row = fixes_per_row(fixes.where(F.col("column").isin(known)))
     joined = df.join(per_row, quoted(id_col).cast("long") == per_row["row_id"], "left")
     out = []
@@ -64,19 +67,37 @@ def apply_fixes(df: DataFrame, fixes: DataFrame, id_col: str = "id") -> DataFram
             out.append(quoted(c))
             continue
         fixed = F.map_contains_key("fixes", c)
-        value = cells.as_column_type(F.try_element_at("fixes", F.lit(c)), types[c])
-        out.append(F.when(fixed, value).otherwise(quoted(c)).alias(c))
+        given = F.try_element_at("fixes", F.lit(c))
+        value = cells.as_column_type(given, targets[c])
+        old = quoted(c) if targets[c] == types[c] else quoted(c).cast(targets[c])
+        out.append(F.when(fixed & (value.isNotNull() | given.isNull()), value).otherwise(old).alias(c))
     return joined.select(*out)
 
 
+def _targets(df: DataFrame, fixes: DataFrame, known: Sequence[str]) -> dict:
+    """The column types after the fixes; at most one row per column reaches the driver."""
+    types = types_of(df)
+    whole = [c for c in known if cells.is_integral(types[c])]
+    if not whole:
+        return types
+    number = F.col("value").try_cast("double")
+    split = fixes.where(F.col("column").isin(whole) & ~cells.is_whole(number) & (F.abs(number) < float("inf")))
+    return cells.widened(types, {r["column"]: 0.5 for r in split.select("column").distinct().collect()})
+
+
 def fix_report(df: DataFrame, fixes: DataFrame, id_col: str = "id") -> FixReport:
-    """`apply_fixes` together with the fixes that named no row or no column."""
+    """`apply_fixes` together with the fixes that named no row or no column, or did not fit."""
     ids = df.select(quoted(id_col).cast("long").alias("row_id"))
     known = [c for c in df.columns if c != id_col]
+    targets = _targets(df, fixes, known)
+    misfit = F.lit(False)
+    for c in known:
+        misfit = F.when(F.col("column") == c, cells.as_column_type(F.col("value"), targets[c]).isNull()).otherwise(misfit)
     return FixReport(
         apply_fixes(df, fixes, id_col),
         fixes.join(ids, "row_id", "left_anti"),
         fixes.where(~F.col("column").isin(known)),
+        fixes.where(F.col("value").isNotNull() & misfit),
     )
 
 
@@ -89,16 +110,17 @@ def delete_rows(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
 def _bulk_fix(df: DataFrame, p: prof.ColumnProfile, value) -> dict[str, Column]:
     """The conditions and results of a bulk fix on one column, in order of effect."""
     t = types_of(df)[p.column]
+    target = cells.widened({p.column: t}, {p.column: value})[p.column]
     col = quoted(p.column)
     number = cells.to_number(col, t)
     null_like = cells.is_null_like(col, t)
-    fill = cells.as_column_type(F.lit(value), t)
+    fill = cells.as_column_type(F.lit(value), target)
     bad_type = ~null_like & number.isNull() if p.is_numeric else F.lit(False)
     negative = F.coalesce(number < 0, F.lit(False)) if p.must_be_positive else F.lit(False)
     fixed = (
         F.when(null_like | bad_type, fill)
-        .when(negative, cells.as_column_type(F.abs(number), t))
-        .otherwise(col)
+        .when(negative, cells.as_column_type(F.abs(number), target))
+        .otherwise(col if target == t else col.cast(target))
     )
     return {"null": null_like, "type": bad_type, "negative": negative, "fixed": fixed}
 
@@ -150,12 +172,14 @@ def imputation_values(df: DataFrame, profile: TableProfile) -> dict[str, object]
 
 def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     types = types_of(df)
+    targets = cells.widened(types, values)
     out = []
     for c in df.columns:
         col = quoted(c)
         if c in values:
-            fill = cells.as_column_type(F.lit(values[c]), types[c])
-            col = F.when(cells.is_null_like(col, types[c]), fill).otherwise(col)
+            fill = cells.as_column_type(F.lit(values[c]), targets[c])
+            old = col if targets[c] == types[c] else col.cast(targets[c])
+            col = F.when(cells.is_null_like(col, types[c]), fill).otherwise(old)
         out.append(col.alias(c))
     return df.select(*out)
 
@@ -196,11 +220,13 @@ def repair_in_place(df: DataFrame, rules: Rules, checks: Sequence[str] = detect.
     found: dict[str, list[detect.Finding]] = {}
     for f in detect.cell_findings(parsed, rules, checks):
         found.setdefault(f.column, []).append(f)
+    # only medians fill cells with numbers that may not be whole
+    targets = cells.widened(types, {c: rules.medians[c] for c in found if c in rules.medians})
     out = []
     for c in df.columns:
-        col = quoted(c)
+        col = quoted(c) if targets[c] == types[c] else quoted(c).cast(targets[c])
         for f in found.get(c, []):
             # findings are in detection order, the later rule wins
-            col = F.when(f.applies, cells.as_column_type(f.replacement(), types[c])).otherwise(col)
+            col = F.when(f.applies, cells.as_column_type(f.replacement(), targets[c])).otherwise(col)
         out.append(col.alias(c))
     return parsed.frame().select(*out)

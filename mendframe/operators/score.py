@@ -141,7 +141,9 @@ def change_counts(
     )
     wrong_row = (change == "removed") & F.col("issue_columns").isNull() & F.col("reported").isNull()
     return marked.agg(
-        F.count(F.lit(1)).alias("changes"), F.count(F.when(wrong_cell | wrong_row, 1)).alias("false_positives")
+        # cells of a dropped column are neither: the published scores do not see them
+        F.count(F.when(change != "dropped", 1)).alias("changes"),
+        F.count(F.when(wrong_cell | wrong_row, 1)).alias("false_positives"),
     )
 
 

@@ -91,10 +91,12 @@ def _column_checks(
     The repaired table is read by one aggregate; from there on the frames have
     one row per column.
     """
+    # a column that is gone is all empty
     state = column_state(after, profile)
-    per_column = state.join(_profile_rows(profile, after.sparkSession), "column").join(
+    per_column = _profile_rows(profile, after.sparkSession).join(state, "column", "left").join(
         baseline(issues), "column", "left"
     )
+    per_column = per_column.withColumn("nulls", F.coalesce("nulls", F.lit(profile.row_count)))
     touched = sorted(touched)
     drift = F.abs(F.col("mean") - F.col("base_mean")) / F.abs("base_mean") * 100.0
     per_column = per_column.withColumn("drift", drift)

@@ -183,14 +183,15 @@ def delete_rows(spark, sf_dir):
 @register(
     "auto_impute",
     f"""WITH {sql.PARTS} SELECT id, part_name, kind,
- coalesce(size, cast(round((SELECT median(size) FROM p)) as int)) AS size,
+ coalesce(cast(size as double), (SELECT round(median(size),4) FROM p)) AS size,
  coalesce(retail, (SELECT round(median(retail),4) FROM p)) AS retail,
  case when {sql.blank("brand")} then (SELECT brand FROM p WHERE not {sql.blank("brand")}
   GROUP BY 1 ORDER BY count(*) DESC, min(id) LIMIT 1) else brand end AS brand FROM p""",
 )
 def auto_impute(spark, sf_dir):
     df = inputs.part_dirty(spark, sf_dir)
-    return repair.auto_impute(df, prof.profile_table(df, PARTS, unique=None))
+    # whole sizes stay integers unless the median is not whole; compared as numbers
+    return repair.auto_impute(df, prof.profile_table(df, PARTS, unique=None)).withColumn("size", F.col("size").cast("double"))
 
 
 # amounts are compared as numbers: engines print doubles differently

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mendframe.sources.load import table_name
+
 META_COLUMNS = ("_source_format",)
 WRITERS = ("csv", "json", "jsonl", "parquet")
-MAX_STEM = 40
 
 
 @dataclass(frozen=True)
@@ -22,11 +22,8 @@ class ExportResult:
 
 
 def export_name(dataset: str) -> str:
-    """`{stem}_cleaned`, the stem a lower-case identifier of at most 40 characters."""
-    first = (dataset or "").strip().split("\n")[0]
-    base = first.split(":")[0].rstrip("/").rsplit("/", 1)[-1].lower()
-    safe = re.sub(r"[^\w]", "_", base)[:MAX_STEM].rstrip("_")
-    return f"{safe}_cleaned" if safe else "cleaned"
+    """The table's name, whole, and `_cleaned`: different tables never share a target."""
+    return f"{table_name(dataset)}_cleaned"
 
 
 def export_format(source_format: str, output_format: str | None = None) -> str:

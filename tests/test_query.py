@@ -8,7 +8,9 @@ from mendframe.operators import dimension, profile as prof, query, report, skew
 
 @pytest.mark.parametrize(
     "sql",
-    ["", "  ", "DELETE FROM t", "SELECT 1; SELECT 2", "SELECT * FROM t WHERE drop = 1", "with x as (select 1) select * from x"],
+    ["", "  ", "DELETE FROM t", "SELECT 1; SELECT 2", "DROP TABLE classes", "with x as (select 1) select * from x",
+        "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM range(3)", "SELECT java_method('java.lang.System', 'gc')", "SELECT (SELECT reflect('a', 'b'))",
+        "SELECT * FROM parquet.`/tmp/x`", "SELECT 1 WHERE 1 IN (SELECT a FROM nowhere)", "SET a=b", "INSERT INTO t SELECT 1", "CACHE TABLE t"],
 )
 def test_refused_queries(spark, sql):
     with pytest.raises(query.QueryError):
@@ -19,8 +21,10 @@ def test_query_reads_registered_tables(spark, classes):
     classes.createOrReplaceTempView("classes")
     got = query.query(spark, 'SELECT "class_name", min_fare FROM classes ORDER BY min_fare DESC').collect()
     assert len(got) == 5 and got[0]["class_name"] == "First"
-    assert query.query(spark, "SELECT * FROM range(200)").count() == 50
-    assert query.query(spark, "SELECT * FROM range(200)", limit=None).count() == 200
+    assert query.query(spark, "SELECT * FROM range(200)").count() == 200
+    assert query.query(spark, "SELECT * FROM range(200)", limit=50).count() == 50
+    many = spark.range(100).selectExpr("id", "cast(id as string) AS c", "1.0 AS x")
+    assert query.category_counts(many, "c").count() == 100 and query.group_summary(many, "c", "x").count() == 100
     with pytest.raises(query.QueryError):
         query.query(spark, "SELECT nope FROM classes")
     assert "classes" in query.table_names(spark) and query.columns(spark, "classes")[0] == "id"

@@ -17,7 +17,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.CHECKS))
 def test_query_equals_its_sql(spark, con, name):
     df = driver.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, con, name):
     assert compare(df, con, driver.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - set(driver.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.CHECKS)))
 def test_query_without_sql_gives_rows(spark, name):
     assert driver.queries()[name](spark, SF_DIR).count() > 0
 

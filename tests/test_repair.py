@@ -21,8 +21,33 @@ def test_last_fix_wins_and_null_empties(spark, dirty):
 
 
 def test_values_take_the_type_of_the_column(spark, clean):
-    out = repair.apply_fixes(clean, fixes(spark, [(1, "age", "28.0", 1), (2, "age", "abc", 1)]))
-    assert values(out, "age")[1] == 28 and values(out, "age")[2] is None
+    sent = fixes(spark, [(1, "age", "28.0", 1), (2, "age", "abc", 1), (3, "age", None, 1)])
+    report = repair.fix_report(clean, sent)
+    before, after = values(clean, "age"), values(report.table, "age")
+    # what does not fit leaves the cell as it was, and is told
+    assert after[1] == 28 and after[2] == before[2] and after[3] is None
+    assert [r["value"] for r in report.rejected.collect()] == ["abc"]
+
+
+def test_a_perfect_repair_of_whole_numbers_resolves_them(spark):
+    from mendframe.operators import detect, score
+
+    df = spark.createDataFrame([(i, n, f"k{i}") for i, n in enumerate([10, None, 11, 12, 13, None])], "id long, n int, k string")
+    rules = detect.learn(df, "t", checks=("null",))
+    issues = detect.detect(df, "t", rules=rules, checks=("null",))
+    done = repair.apply_corrections(df, issues)
+    assert values(done, "n")[1] == 11.5 and values(repair.auto_impute(df, rules.profile), "n")[5] == 11.5
+    got = score.resolve(issues, done, rules.profile).collect()
+    assert len(got) == 2 and all(r["resolved"] == r["confidence"] for r in got)
+
+
+def test_columns_that_come_and_go_are_changes(spark):
+    from mendframe.operators import compare
+
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id long, k string, gone string")
+    new = spark.createDataFrame([(1, "a", "n"), (2, "b", "")], "id long, k string, extra string")
+    found = sorted((r["row_id"], r["column"], r["change"]) for r in compare.changes(old, new).collect())
+    assert found == [(1, "extra", "changed"), (1, "gone", "dropped")]
 
 
 def test_unknown_targets_are_reported(spark, dirty):

@@ -108,7 +108,7 @@ def test_export(spark, tmp_path, dirty, fmt):
     tagged = dirty.withColumn("_source_format", F.lit("csv"))
     done = export_table(tagged, str(tmp_path), "/data/My Set.csv", "csv", fmt)
     assert done.row_count == 10 and done.format == ("csv" if fmt == "nonsense" else fmt)
-    assert os.path.basename(done.path).startswith("my_set_csv_cleaned.")
+    assert os.path.basename(done.path).startswith("my_set_cleaned.")
     back, _ = load_table(spark, done.path)
     # JSON columns come back in alphabetical order
     assert sorted(back.columns) == sorted(dirty.columns) and back.count() == 10
@@ -119,7 +119,7 @@ def test_export_rules(spark, dirty, tmp_path):
     with pytest.raises(ValueError):
         export_table(dirty.limit(0), str(tmp_path), "x")
     assert export.export_format("hf_dataset") == "csv" and export.export_format("json", "parquet") == "parquet"
-    assert export.export_name("a" * 90) == "a" * 40 + "_cleaned" and export.export_name("") == "cleaned"
+    assert export.export_name("a" * 90) == "a" * 90 + "_cleaned" and export.export_name("") == "dataset_cleaned"
 
 
 def test_shared_folder_and_materialize(spark, dirty):
