@@ -56,19 +56,21 @@ def normalized(log: DataFrame) -> DataFrame:
 
 
 def capped_steps(log: DataFrame) -> DataFrame:
-    """(episode, step, in_cap): the actions that still earn an investigation reward.
+    """(episode, step, action_type, in_cap): the actions that still earn an investigation reward.
 
     Only the first few steps per episode and action matter; the constant bound
-    on the rank lets every task drop the others before the shuffle.
+    on the rank lets every task drop the others before the shuffle.  Rows that
+    repeat a step and action share one place under the cap.
     """
     counted = log.where(F.col("action_type").isin(*CAPS)).select("episode", "action_type", "step")
-    first = F.row_number().over(Window.partitionBy("episode", "action_type").orderBy("step"))
+    first = F.dense_rank().over(Window.partitionBy("episode", "action_type").orderBy("step"))
     cap = F.coalesce(*[F.when(F.col("action_type") == a, F.lit(n)) for a, n in CAPS.items()])
     return (
         counted.withColumn("nth", first)
         .where(F.col("nth") <= max(CAPS.values()))
         .where(F.col("nth") <= cap)
-        .select("episode", "step", F.lit(True).alias("in_cap"))
+        .select("episode", "step", "action_type", F.lit(True).alias("in_cap"))
+        .distinct()
     )
 
 
@@ -195,7 +197,7 @@ def action_rewards(
         F.max(F.col("issue_type").isin(*_aligned(intent, BULK_TYPES))).alias("bulk_aligned"),
     )
     joined = joined.join(F.broadcast(bulk), "column", "left")
-    joined = joined.join(capped_steps(log), ["episode", "step"], "left")
+    joined = joined.join(capped_steps(log), ["episode", "step", "action_type"], "left")
     n_issues = issues.count()
 
     zero, action = F.lit(0.0), F.col("action_type")
@@ -291,16 +293,20 @@ def episode_totals(rewards: DataFrame, final_scores: DataFrame | None = None) ->
 
     `final_scores(episode, score)` replaces the reward of submit and export.
     """
-    reward = F.col("total")
-    if final_scores is not None:
-        # one score per episode; a long episode keeps its rows spread by step
-        closing = rewards.where(F.col("action_type").isin("submit", "export")).select("episode", "step")
-        scored = closing.join(final_scores.select("episode", "score"), "episode")
-        rewards = rewards.join(scored, ["episode", "step"], "left")
-        reward = F.coalesce("score", "total")
-    return rewards.groupBy("episode").agg(
+    closing = F.coalesce(F.col("action_type").isin("submit", "export"), F.lit(False))
+    sums = rewards.groupBy("episode").agg(
         F.count(F.lit(1)).alias("steps"),
         F.count(F.when(F.col("action_type").isin(*INVESTIGATIONS), 1)).alias("investigations"),
         *[F.round(F.sum(c), 4).alias(c) for c in COMPONENTS],
-        F.round(F.sum(reward), 4).alias("reward"),
+        F.sum("total").alias("_total"),
+        F.sum(F.when(~closing, F.col("total"))).alias("_open"),
+        F.count(F.when(closing, 1)).alias("_closings"),
     )
+    reward = F.col("_total")
+    if final_scores is not None:
+        # closing steps of an episode all earn its score: their number is enough, so a
+        # long episode is one row when it meets its score
+        sums = sums.join(final_scores.select("episode", "score"), "episode", "left")
+        scored = F.coalesce("_open", F.lit(0.0)) + F.col("score") * F.col("_closings")
+        reward = F.when(F.col("score").isNotNull() & (F.col("_closings") > 0), scored).otherwise(reward)
+    return sums.select("episode", "steps", "investigations", *COMPONENTS, F.round(reward, 4).alias("reward"))

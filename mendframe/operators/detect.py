@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mendframe.functions import cells
 from mendframe.operators import frequency, profile as prof, quantiles, skew
@@ -68,6 +69,8 @@ class Rules:
     dominant: dict[str, dict[str, str]] = field(default_factory=dict)
     positive: frozenset[str] = frozenset()
     natural_key: str | None = None
+    # the checks these rules were learnt for; None: made by hand, for any check
+    checks: frozenset[str] | None = None
 
 
 def type_error_columns(profile: TableProfile) -> list[str]:
@@ -151,7 +154,7 @@ def learn(
     dominant: dict[str, dict[str, str]] = {}
     for r in variant_rows:
         dominant.setdefault(r["column"], {})[r["form"]] = r["dominant"]
-    return Rules(profile, medians, fences, dominant, positive_columns(profile, force_positive), key)
+    return Rules(profile, medians, fences, dominant, positive_columns(profile, force_positive), key, frozenset(checks))
 
 
 def category_columns(df: DataFrame, profile: TableProfile) -> list[str]:
@@ -449,17 +452,28 @@ def detect(
 ) -> DataFrame:
     """Every finding of the level's checks, as the issue table.
 
-    A cell yields at most one finding per rule and row ids are unique, so the
-    union needs no de-duplicating shuffle.
+    A cell yields one finding per rule at most, so only rows that repeat an id can
+    repeat a finding; of those the smallest correction stays.
     """
     checks = tuple(checks or LEVELS[level])
     rules = rules or learn(df, table, id_col, checks)
+    if rules.checks is not None and not rules.checks.issuperset(checks):
+        raise ValueError(f"the rules were not learnt for {sorted(set(checks) - rules.checks)}")
     out = detect_cells(df, rules, checks)
     if "duplicate" in checks:
         out = out.unionByName(detect_duplicates(df, rules))
     if "fk_violation" in checks and references:
         out = out.unionByName(detect_orphans(df, rules, references))
-    return out
+    return distinct_findings(out)
+
+
+def distinct_findings(issues: DataFrame) -> DataFrame:
+    """One row per (row, column, kind): the smallest correction, then the highest confidence."""
+    key = ["issue_id", "issue_type", "table", "row_id", "column"]
+    least = F.min(F.struct("correct_num", "correct", "action", (-F.col("confidence")).alias("doubt"))).alias("best")
+    best = issues.groupBy(*key).agg(least)
+    correction = [F.col(f"best.{c}").alias(c) for c in ("correct", "correct_num", "action")]
+    return best.select(*key, *correction, (-F.col("best.doubt")).alias("confidence"))
 
 
 def issues_remaining(issues: DataFrame, repaired: DataFrame, profile: TableProfile) -> DataFrame:
@@ -486,13 +500,12 @@ def issues_remaining(issues: DataFrame, repaired: DataFrame, profile: TableProfi
 
 
 def state_stat(profile: TableProfile, stat: str, column: str = "column") -> Column:
-    """A profile statistic of the column an issue names, as a lookup expression."""
-    out = F.lit(None).cast("double")
-    for p in profile.columns.values():
-        value = getattr(p, stat)
-        if p.is_numeric and value is not None:
-            out = F.when(F.col(column) == p.column, F.lit(float(value))).otherwise(out)
-    return out
+    """A profile statistic of the column an issue names, looked up in one literal map."""
+    known = {p.column: getattr(p, stat) for p in profile.columns.values() if p.is_numeric}
+    known = {c: float(v) for c, v in known.items() if v is not None}
+    if not known:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.map_from_arrays(F.lit(list(known)), F.lit(list(known.values()))), F.col(column))
 
 
 def with_cell(issues: DataFrame, table: DataFrame, profile: TableProfile, id_col: str | None = None) -> DataFrame:
@@ -500,30 +513,42 @@ def with_cell(issues: DataFrame, table: DataFrame, profile: TableProfile, id_col
 
     Adds present (the row exists), cell (text), cell_num and cell_null.  The
     table is first reduced to the rows that have an issue, so a small issue
-    table is broadcast and the large one never moves; the cell is then picked
-    by name from the wide row.
+    table is broadcast and the large one never moves.  The columns of one type
+    travel as one array, and the cell is the entry at the place of its name: the
+    expressions number as many as the types, however wide the table is.
     """
     types = types_of(table)
     id_col = id_col or profile.id_col
-    names = [c for c in table.columns if c != id_col and c in profile.columns]
+    names: dict[T.DataType, list[str]] = {}
+    for c in table.columns:
+        if c != id_col and c in profile.columns:
+            names.setdefault(types[c], []).append(c)
     wide = table.select(
         quoted(id_col).cast("long").alias("row_id"),
         F.lit(True).alias("present"),
-        *[quoted(c).alias(f"_{i}") for i, c in enumerate(names)],
+        *[F.array(*map(quoted, cols)).alias(f"_cells{k}") for k, cols in enumerate(names.values())],
     ).join(issues.select("row_id"), "row_id", "left_semi")
     joined = issues.join(wide, "row_id", "left").withColumn("present", F.coalesce("present", F.lit(False)))
-
-    def pick(value, empty):
-        out = empty
-        for i, c in enumerate(names):
-            out = F.when(F.col("column") == c, value(F.col(f"_{i}"), types[c])).otherwise(out)
-        return out
-
-    cell = pick(lambda v, t: v.cast("string"), F.lit(None).cast("string"))
-    number = pick(cells.to_number, F.lit(None).cast("double"))
-    null_like = pick(cells.is_null_like, F.lit(True))
+    # the place of a named column among those of its type, 0 elsewhere
+    joined = joined.select(
+        "*",
+        *[
+            F.coalesce(F.array_position(F.lit(cols), F.col("column")), F.lit(0)).cast("int").alias(f"_at{k}")
+            for k, cols in enumerate(names.values())
+        ],
+    )
+    joined = joined.select(
+        "*", *[F.get(f"_cells{k}", F.col(f"_at{k}") - 1).alias(f"_cell{k}") for k in range(len(names))]
+    )
+    cell, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    null_like = F.lit(True)
+    for k, t in enumerate(names):
+        here, value = F.col(f"_at{k}") > 0, F.col(f"_cell{k}")
+        cell = F.when(here, value.cast("string")).otherwise(cell)
+        number = F.when(here, cells.to_number(value, t)).otherwise(number)
+        null_like = F.when(here, cells.is_null_like(value, t)).otherwise(null_like)
     return joined.select(
-        *[F.col(c) for c in issues.columns],
+        *[quoted(c) for c in issues.columns],
         "present",
         cell.alias("cell"),
         number.alias("cell_num"),

@@ -86,10 +86,13 @@ def modes(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     best = freq.groupBy("column").agg(
         F.max_by(F.struct("n", "first_id"), F.struct(F.col("n"), -F.col("first_id"))).alias("b")
     )
-    # one row per column, so the text itself is fetched with a pruned scan
+    # one row per column: the scan for the texts themselves is pruned to those ids
     winners = best.select("column", F.col("b.n").alias("n"), F.col("b.first_id").alias("first_id"))
+    found = [tuple(r) for r in winners.collect()]
+    winners = df.sparkSession.createDataFrame(found, winners.schema)
+    rows = df.where(quoted(id_col).isin(sorted({first for *_, first in found if first is not None})))
     originals = long_cells(
-        df, columns, {c: as_text(df, c) for c in columns}, quoted(id_col).cast("long").alias("first_id")
+        rows, columns, {c: as_text(df, c) for c in columns}, quoted(id_col).cast("long").alias("first_id")
     )
     return originals.join(F.broadcast(winners), ["column", "first_id"]).select(
         "column", F.col("value").alias("mode"), "n", "first_id"

@@ -50,14 +50,19 @@ def plan(
     }
     turns = [k for k in PLANT_ORDER if k in checks and eligible[k]]
     counts: dict[tuple[str, str], int] = {}
-    for i in range(n if turns else 0):
-        kind = turns[i % len(turns)]
-        columns = _shuffled(eligible[kind], seed, kind)
-        column = columns[(i // len(turns)) % len(columns)]
-        counts[(kind, column)] = counts.get((kind, column), 0) + 1
+    for kind, errors in _shares(turns, n):
+        counts |= {(kind, c): k for c, k in _shares(_shuffled(eligible[kind], seed, kind), errors)}
     return counts
 
 
+def _shares(names: Sequence[str], n: int) -> list[tuple[str, int]]:
+    """How often each name has its turn when `n` turns go round; those without one are left out."""
+    if not names:
+        return []
+    each, rest = divmod(n, len(names))
+    return [(c, each + (i < rest)) for i, c in enumerate(names) if each or i < rest]
+
+
 def inject_errors(
     df: DataFrame,
     profile: TableProfile,

@@ -306,8 +306,8 @@ _HEAD_ROWS = 1000
 def sample_values(df: DataFrame, profile: TableProfile, head_rows: int = _HEAD_ROWS) -> DataFrame:
     """(column, position, row_id, value): the first five non-null values by id.
 
-    The first `head_rows` rows settle almost every column.  A column that is
-    emptier than that gets its own top-five scan.
+    The first `head_rows` rows settle almost every column.  All columns that are
+    emptier than that share one more scan, in which each task keeps five cells a column.
     """
     id_col, names = profile.id_col, list(profile.columns)
     key = quoted(id_col).cast("long").alias("row_id")
@@ -321,14 +321,8 @@ def sample_values(df: DataFrame, profile: TableProfile, head_rows: int = _HEAD_R
         c for c in names if filled.get(c, 0) < min(SAMPLE_SIZE, profile[c].present)
     ]
     out = head_cells.where(~F.col("column").isin(sparse)) if sparse else head_cells
-    for c in sparse:
-        top = (
-            df.select(key, text[c].alias("value"))
-            .where(F.col("value").isNotNull())
-            .orderBy("row_id")
-            .limit(SAMPLE_SIZE)
-        )
-        out = out.unionByName(top.withColumn("column", F.lit(c)))
+    if sparse:
+        out = out.unionByName(frequency.long_cells(df, sparse, text, key))
     position = F.row_number().over(Window.partitionBy("column").orderBy("row_id"))
     return out.withColumn("position", position).where(F.col("position") <= SAMPLE_SIZE)
 

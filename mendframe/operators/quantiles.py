@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,8 +98,9 @@ def _narrow(df, numbers, searches, exact_up_to, bins) -> None:
                 F.struct(F.lit(i).alias("part"), key.alias("key"), v.alias("v")),
             )
         )
+    inside = reduce(or_, [F.col(names[c]).between(low, high) for c, low, high, *_ in intervals])
     counted = (
-        base.select(F.explode(F.array(*parts)).alias("x"))
+        base.where(inside).select(F.explode(F.array(*parts)).alias("x"))
         .where(F.col("x").isNotNull())
         .groupBy(F.col("x.part").alias("part"), F.col("x.key").alias("key"))
         .agg(

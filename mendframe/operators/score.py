@@ -195,8 +195,11 @@ def components(
     log: DataFrame | None = None,
     validated: bool = True,
     touched: Sequence[str] = (),
+    checks: DataFrame | None = None,
 ) -> DataFrame:
-    """One row with every part of the scoring formulas."""
+    """One row with every part of the scoring formulas; `checks` spares validating again."""
+    if checks is None:
+        checks = validate.validate(cleaned, issues, profile, natural_key, touched)
     resolved = resolve(issues, cleaned, profile, removed)
     parts = [
         resolved.agg(
@@ -209,7 +212,7 @@ def components(
             _share(["fk_violation"]).alias("res_fk"),
         ),
         change_counts(dirty, cleaned, issues, profile.id_col, removed),
-        validation_score(validate.validate(cleaned, issues, profile, natural_key, touched)),
+        validation_score(checks),
     ]
     if decoys is not None:
         parts.append(decoy_penalty(decoys, cleaned, profile, removed))

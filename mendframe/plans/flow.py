@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from mendframe.operators import detect, repair, score, validate
+from mendframe.operators import compare, detect, repair, score, validate
 from mendframe.operators.profile import TableProfile
 from mendframe.session import materialize
 
@@ -58,16 +58,31 @@ def clean(
     scanned: Scan,
     level: str = "hard",
     cleaner: Callable[[Scan], DataFrame] | None = None,
-    touched: tuple[str, ...] = (),
+    touched: tuple[str, ...] | None = None,
+    decoys: DataFrame | None = None,
+    log: DataFrame | None = None,
+    removed: DataFrame | None = None,
+    validated: bool = True,
 ) -> Outcome:
-    """Repair with `cleaner` (all corrections by default), then validate and score."""
+    """Repair with `cleaner` (all corrections by default), then validate and score.
+
+    The columns that the repair touched are taken from the diff of both tables
+    unless they are named.  `decoys`, the action `log`, reported deletions (`removed`) and
+    whether the repair was `validated` enter the score.  The cleaned table is stored once: every check and score reads it.
+    """
     if cleaner is None:
         cleaned = repair.apply_corrections(scanned.data, scanned.issues, scanned.profile.id_col)
     else:
         cleaned = cleaner(scanned)
+    cleaned = materialize(cleaned, "cleaned")
+    if touched is None:
+        # one row per column
+        diff = compare.cell_diff(scanned.data, cleaned, scanned.profile.id_col)
+        touched = tuple(r["column"] for r in diff.select("column").distinct().collect())
     key = scanned.rules.natural_key
-    checks = validate.validate(cleaned, scanned.issues, scanned.profile, key, touched)
+    checks = materialize(validate.validate(cleaned, scanned.issues, scanned.profile, key, touched), "checks")
     parts = score.components(
-        scanned.data, cleaned, scanned.issues, scanned.profile, natural_key=key, touched=touched
-    )
+        scanned.data, cleaned, scanned.issues, scanned.profile, key,
+        removed=removed, decoys=decoys, log=log, validated=validated, touched=touched, checks=checks,
+    )
     return Outcome(cleaned, checks, score.score(level, parts))

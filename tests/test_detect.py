@@ -159,3 +159,30 @@ def test_outlier_fences_are_strict_and_need_spread(spark):
 def test_columns_with_odd_names(spark):
     df = spark.createDataFrame([(i, None if i == 2 else f"n{i}") for i in range(6)], "id long, `full name.x` string")
     assert {k[:2] for k in issues_of(df)} == {(2, "full name.x")}
+
+
+def test_rules_know_their_checks_and_repeated_ids_repeat_no_finding(spark, dirty):
+    easy = detect.learn(dirty, "passengers", checks=detect.EASY)
+    with pytest.raises(ValueError):
+        detect.detect(dirty, "passengers", level="medium", rules=easy)
+    twice = spark.createDataFrame([(1, None), (1, None), (2, 5.0), (3, 7.0)], "id long, x double")
+    found = detect.detect(twice, "t", checks=("null",)).collect()
+    assert [(r["issue_id"], r["correct_num"], r["confidence"]) for r in found] == [("t_1_x_null", 6.0, 0.5)]
+
+
+def test_wide_tables(spark):
+    """Cells are looked up by name without an expression per column."""
+    names = [f"c{i}" for i in range(2000)]
+    profile = prof.TableProfile("t", "id", 2, dict.fromkeys(names))
+    kinds = [F.lit(str(i)) if i % 3 else F.lit(float(i)) for i in range(2000)]
+    wide = spark.range(1, 3).select("id", *[k.alias(c) for k, c in zip(kinds, names, strict=True)])
+    rows = [(1, "c1999", "null"), (2, "c0", "null"), (2, "nowhere", "null"), (9, "c1", "null"), (1, None, "duplicate")]
+    asked = spark.createDataFrame(rows, "row_id long, column string, issue_type string")
+    got = {(r["row_id"], r["column"]): (r["present"], r["cell"], r["cell_num"], r["cell_null"]) for r in detect.with_cell(asked, wide, profile).collect()}
+    assert got == {
+        (1, "c1999"): (True, "1999", 1999.0, False),
+        (2, "c0"): (True, "0.0", 0.0, False),
+        (2, "nowhere"): (True, None, None, True),
+        (9, "c1"): (False, None, None, True),
+        (1, None): (True, None, None, True),
+    }

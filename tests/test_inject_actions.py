@@ -173,3 +173,10 @@ def test_injected_lookup_errors(spark):
     facts, lookup = inject.inject_lookup_errors(dim)
     assert facts.where("t_ref = 1002").count() == 1 and lookup.where("label is null").count() == 1
     assert repair.delete_rows(facts, facts.where("t_ref = 1002").select(F.col("id").alias("row_id"))).count() == 11
+
+
+def test_repeated_steps_are_not_multiplied(spark, audit):
+    dirty, profile, issues = audit
+    log = spark.createDataFrame([("e", 1, "inspect"), ("e", 1, "inspect"), ("e", 1, "run_sql"), ("e", 2, "inspect")], "episode string, step long, action_type string")
+    out = actions.action_rewards(log, issues, {"passengers": dirty}, profile)
+    assert sorted(r["total"] for r in out.collect()) == [0.02, 0.02, 0.02, 0.03]

@@ -131,6 +131,11 @@ def test_flow_end_to_end(dirty):
     done = flow.clean(flow.scan(dirty, "passengers", store=True), "medium")
     assert done.cleaned.count() == 9 and done.checks.count() == 6
     assert done.score.first()["score"] >= 0.50
+    # the repair itself moved the mean of the fares, so no check calls them untouched
+    assert not any(w.startswith(("fare", "age")) for r in done.checks.collect() for w in r["warnings"])
+    decoys = dirty.sparkSession.createDataFrame([(2, "fare", 14.5)], "row_id long, column string, decoy_value double")
+    marked = flow.clean(flow.scan(dirty, "passengers", store=True), "hard", decoys=decoys)
+    assert marked.score.first()["decoy_penalty"] == 0.4
 
 
 def test_intent_alignment(scanned):

@@ -23,6 +23,11 @@ def test_csv_text(spark):
     assert df.count() == 10 and spark.table("dataset").count() == 10
 
 
+def test_csv_text_may_hold_line_breaks(spark):
+    df, _ = load_table(spark, "k,v\n" + "".join(f'{i},"x\ny, {i}"\n' for i in range(6)))
+    assert [r["v"] for r in df.orderBy("k").collect()] == [f"x\ny, {i}" for i in range(6)]
+
+
 def test_csv_file(spark, tmp_path):
     text = 'PassengerId,note,n\n' + "".join(f'{i},"a, ""q""\nline {i}",{i}.0\n' for i in range(1, 7)) + "7,short\n8,x,,extra\n"
     path = write(tmp_path / "1 My-File.csv", text, "utf-8-sig")
@@ -66,7 +71,12 @@ def test_ids_follow_file_order(spark, tmp_path):
 
 def test_bad_ids_become_positions(spark):
     df = spark.createDataFrame([("7", "a"), ("x", "b"), (None, "c")], "ID string, t string").coalesce(1)
-    assert [(r["id"], r["t"]) for r in ensure_id(df).collect()] == [(7, "a"), (2, "b"), (3, "c")]
+    assert sorted((r["t"], r["id"]) for r in ensure_id(df).collect()) == [("a", 7), ("b", 2), ("c", 3)]
+
+
+def test_positions_never_meet_ids(spark):
+    df = spark.createDataFrame([("7", "a"), (None, "b"), ("2", "c")], "id string, t string").coalesce(1)
+    assert sorted((r["t"], r["id"]) for r in ensure_id(df).collect()) == [("a", 7), ("b", 9), ("c", 2)]
 
 
 def test_first_rows(spark, tmp_path):
