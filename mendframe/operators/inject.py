@@ -1,7 +1,7 @@
 """Seeded error injection with ground truth, for measuring cleaners.
 
-Cells are picked by a hash of seed, column and row id, so the same seed picks
-the same cells on any partitioning.
+Cells are picked by a hash of seed, type, column and row id, so the same seed picks
+the same cells on any partitioning; a rule over the row id can take the hash's place.
 """
 
 from __future__ import annotations
@@ -9,11 +9,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendframe.functions import cells
-from mendframe.operators import detect, profile as prof, repair
+from mendframe.operators import detect, profile as prof, quantiles, repair
 from mendframe.operators.dimension import ORPHAN_OFFSET, Dimension
 from mendframe.operators.frequency import quoted, types_of
 from mendframe.operators.profile import TableProfile
@@ -71,11 +71,13 @@ def inject_errors(
     checks: Sequence[str] = PLANT_ORDER,
     issues: DataFrame | None = None,
     natural_key: str | None = None,
+    order: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(dirty table, issue table of the planted errors).
 
     Cells that already have an issue are left alone.  Numeric columns that
-    receive text become text columns.
+    receive text become text columns.  `order`, a whole number over `row_id`, picks
+    rows by a rule instead of by the seeded hash.
     """
     counts = plan(profile, n, seed, checks, natural_key)
     if not counts:
@@ -83,7 +85,7 @@ def inject_errors(
     errors = [c for kind, c in counts if kind == "type_error"]
     if errors:
         profile = prof.with_medians(df, profile, sorted(set(errors)))
-    picked = _pick(df, profile, counts, seed, issues)
+    picked = _pick(df, profile, counts, seed, issues, order)
     number = F.col("original_num")
     correct_num = F.when(F.col("issue_type") == "type_error", detect.state_stat(profile, "median")).otherwise(number)
     confidence = F.coalesce(
@@ -113,54 +115,82 @@ def inject_errors(
     return repair.apply_fixes(widened, fixes, profile.id_col), found
 
 
-def _pick(df, profile, counts, seed, issues) -> DataFrame:
-    """(row_id, issue_type, column, original, original_num): the cells to change."""
+def _pick(df, profile, counts, seed, issues, order=None) -> DataFrame:
+    """(row_id, issue_type, column, original, original_num): the cells to change.
+
+    The cells of a (type, column) with the smallest places are taken.  Their
+    last place is searched by rank, so however many cells are planted, no task
+    sorts them; only cells that share that very place are told apart by row id.
+    """
     types = types_of(df)
     kinds: dict[str, list[str]] = {}
     for kind, c in counts:
         kinds.setdefault(c, []).append(kind)
-    entries = []
+    rows = df.withColumn("row_id", quoted(profile.id_col).cast("long"))
+    free = {c: F.lit(True) for c in kinds}
+    if issues is not None:
+        taken = issues.where(F.col("column").isNotNull()).groupBy(F.col("row_id").alias("_row"))
+        rows = rows.join(taken.agg(F.collect_set("column").alias("_taken")), F.col("row_id") == F.col("_row"), "left")
+        free = {c: ~F.coalesce(F.array_contains("_taken", c), F.lit(False)) for c in kinds}
+    entries, places = [], []
     for c, wanted in kinds.items():
         col, t = quoted(c), types[c]
         number = cells.to_number(col, t)
         # each cell belongs to one type, so that no cell is picked twice
-        turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.col("row_id"), F.lit("type")), F.lit(len(wanted)))
+        turn = F.pmod(_place(seed, "type", c, order), F.lit(len(wanted)))
         for i, kind in enumerate(wanted):
-            fits = cells.not_null_like(col, t) & (turn == i)
+            fits = free[c] & cells.not_null_like(col, t) & (turn == i)
             if kind != "null":
                 fits = fits & number.isNotNull()
             if kind == "constraint":
                 fits = fits & (number > 0)
-            entries.append(
-                F.when(
-                    fits,
-                    F.struct(
-                        F.lit(kind).alias("issue_type"),
-                        F.lit(c).alias("column"),
-                        F.lit(counts[(kind, c)]).alias("wanted"),
-                        col.cast("string").alias("original"),
-                        number.alias("original_num"),
-                    ),
-                )
-            )
-    candidates = (
-        df.withColumn("row_id", quoted(profile.id_col).cast("long"))
-        .select("row_id", F.explode(F.array(*entries)).alias("x"))
-        .where(F.col("x").isNotNull())
-        .select("row_id", "x.*")
-    )
-    if issues is not None:
-        taken = issues.where(F.col("column").isNotNull()).select("row_id", "column")
-        candidates = candidates.join(taken, ["row_id", "column"], "left_anti")
-    # the constant bound lets each task keep only its best rows before the shuffle
-    order = F.xxhash64(F.lit(seed), F.col("issue_type"), F.col("column"), F.col("row_id"))
-    rank = F.row_number().over(Window.partitionBy("issue_type", "column").orderBy(order, "row_id"))
-    return (
-        candidates.withColumn("rank", rank)
-        .where(F.col("rank") <= max(counts.values()))
-        .where(F.col("rank") <= F.col("wanted"))
-        .drop("rank", "wanted")
-    )
+            entries.append((kind, c, number))
+            places.append(F.when(fits, _place(seed, kind, c, order)).cast("double").alias(f"_at{len(places)}"))
+    placed = rows.select("*", *places)
+    last = _last_places(placed, [counts[(kind, c)] for kind, c, _ in entries])
+    chosen = [
+        F.when(
+            F.col(f"_at{i}") <= last[i][0],
+            F.struct(
+                F.lit(kind).alias("issue_type"),
+                F.lit(c).alias("column"),
+                quoted(c).cast("string").alias("original"),
+                number.alias("original_num"),
+                (F.col(f"_at{i}") == last[i][0]).alias("tie"),
+                F.lit(last[i][1]).alias("ties_wanted"),
+            ),
+        )
+        for i, (kind, c, number) in enumerate(entries)
+        if last[i] is not None
+    ]
+    if not chosen:
+        return placed.select("row_id", F.lit("").alias("issue_type"), F.lit("").alias("column"), F.lit("").alias("original"), F.lit(0.0).alias("original_num")).limit(0)
+    picked = placed.select("row_id", F.explode(F.array_compact(F.array(*chosen))).alias("x")).select("row_id", "x.*")
+    rank = F.row_number().over(Window.partitionBy("issue_type", "column").orderBy("row_id"))
+    ties = picked.where("tie").withColumn("rank", rank).where(F.col("rank") <= F.col("ties_wanted")).drop("rank")
+    return picked.where("NOT tie").unionByName(ties).drop("tie", "ties_wanted")
+
+
+def _place(seed: int, salt: str, column: str, order: Column | None) -> Column:
+    """Where a row stands when cells are picked: by hash, in 52 bits that a double holds exactly, or as the caller says."""
+    if order is not None:
+        return order
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.lit(column), F.col("row_id")), F.lit(1 << 52))
+
+
+def _last_places(placed: DataFrame, wanted: list[int]) -> list[tuple[float, int] | None]:
+    """Per place column: the place of its `wanted`th row and how many rows with that very place are taken; None without rows."""
+    names = [f"_at{i}" for i in range(len(wanted))]
+    ends = placed.agg(*[f(n).alias(f"{f.__name__}{n}") for n in names for f in (F.min, F.max, F.count)]).head()
+    have = {n: ends[f"count{n}"] for n in names}
+    ranks = {n: [min(k, have[n]) - 1] for n, k in zip(names, wanted, strict=True) if have[n]}
+    if not ranks:
+        return [None] * len(names)
+    bounds = {n: (ends[f"min{n}"], ends[f"max{n}"], have[n]) for n in ranks}
+    found = quantiles.values_at_ranks(placed, {n: F.col(n) for n in ranks}, ranks, bounds)
+    last = {n: found[(n, k[0])] for n, k in ranks.items()}
+    before = placed.agg(*[F.count(F.when(F.col(n) < last[n], 1)).alias(n) for n in last]).head()
+    return [(last[n], ranks[n][0] + 1 - before[n]) if n in last else None for n in names]
 
 
 def top_up(df, table, level="hard", seed=42, id_col="id", references=None):
@@ -185,11 +215,11 @@ def decoy_column(profile: TableProfile, busy: Sequence[str] = ()) -> str | None:
 
 
 def inject_decoy(
-    df: DataFrame, profile: TableProfile, issues: DataFrame, seed: int = 42
+    df: DataFrame, profile: TableProfile, issues: DataFrame, seed: int = 42, order: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(table with one doubled value, decoy table).
 
-    The row has no issue and, if possible, an unremarkable value.
+    The row has no issue and, if possible, an unremarkable value; `order` as in `inject_errors`.
     """
     spark = df.sparkSession
     busy = [r["column"] for r in issues.select("column").distinct().collect() if r["column"]]
@@ -204,7 +234,7 @@ def inject_decoy(
     )
     clean = rows.join(issues.select("row_id"), "row_id", "left_anti")
     unusual = F.abs((F.col("original") - F.lit(p.mean)) / F.lit(p.std)) >= DECOY_MAX_Z
-    chosen = clean.orderBy(unusual, F.xxhash64(F.lit(seed), F.lit("decoy"), F.col("row_id")), "row_id").limit(1)
+    chosen = clean.orderBy(unusual, _place(seed, "decoy", column, order), "row_id").limit(1)
     decoys = chosen.select(
         F.lit(profile.table).alias("table"),
         "row_id",

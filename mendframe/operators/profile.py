@@ -165,7 +165,7 @@ def profile_table(
     """Profile every column of `df`.
 
     `unique`, `medians` and `modes` take "all", a list of columns, or None;
-    `unique="approx"` uses sketches for all columns.
+    `unique="approx"` and `medians="approx"` use sketches for all columns.
     """
     types = types_of(df)
     names = list(types)
@@ -223,8 +223,8 @@ def profile_table(
     elif unique:
         profile = with_unique_counts(df, profile, names if unique == "all" else unique)
     if medians:
-        wanted = [c for c in names if columns[c].is_numeric] if medians == "all" else medians
-        profile = with_medians(df, profile, wanted)
+        wanted = [c for c in names if columns[c].is_numeric] if isinstance(medians, str) else medians
+        profile = with_medians(df, profile, wanted, approx=medians == "approx")
     if modes:
         profile = with_modes(df, profile, [c for c in names if c != id_col] if modes == "all" else modes)
     if samples:
@@ -232,6 +232,13 @@ def profile_table(
     return profile
 
 
+def profile_column(df: DataFrame, table: str, column: str, id_col: str = "id") -> ColumnProfile:
+    """Every statistic of one column; the others are not read."""
+    pair = df.select(*[quoted(c) for c in dict.fromkeys((id_col, column))])
+    profile = profile_table(pair, table, id_col, unique=[column], modes=[column], samples=True)
+    return (with_medians(pair, profile, [column]) if profile[column].is_numeric else profile)[column]
+
+
 def with_unique_counts(df: DataFrame, profile: TableProfile, columns: Sequence[str]) -> TableProfile:
     """Exact distinct counts of the given columns."""
     if not columns:
@@ -249,19 +256,21 @@ def approx_unique_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int
     return {c: row[f"u{i}"] for i, c in enumerate(columns)}
 
 
-def order_statistics(df: DataFrame, profile: TableProfile, ranks: dict[str, list[int]], **kw):
-    """Exact values at 0-based ranks of each column's castable values."""
-    ranks = {c: k for c, k in ranks.items() if profile[c].castable}
+def order_statistics(df: DataFrame, profile: TableProfile, ranks: dict[str, list[int]], approx: bool = False, **kw):
+    """Values at 0-based ranks of each column's castable values, exact or within 1/10 000 of the rows."""
+    ranks = {c: k for c, k in ranks.items() if profile[c].castable and k}
     if not ranks:
         return {}
+    if approx:
+        return quantiles.near_ranks(df, number_columns(df, ranks), ranks, {c: profile[c].castable for c in ranks})
     bounds = {c: (profile[c].min, profile[c].max, profile[c].castable) for c in ranks}
     return quantiles.values_at_ranks(df, number_columns(df, ranks), ranks, bounds, **kw)
 
 
-def with_medians(df: DataFrame, profile: TableProfile, columns: Sequence[str]) -> TableProfile:
+def with_medians(df: DataFrame, profile: TableProfile, columns: Sequence[str], approx: bool = False) -> TableProfile:
     """Median of the castable values, the mean of the two middles when even."""
     ranks = {c: list(quantiles.median_ranks(profile[c].castable)) for c in columns if profile[c].castable}
-    found = order_statistics(df, profile, ranks)
+    found = order_statistics(df, profile, ranks, approx)
     for c, (a, b) in ranks.items():
         profile = profile.updated(c, median=middle(found[(c, a)], found[(c, b)]))
     return profile

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 BINS = 1 << 16
 EXACT_UP_TO = 200_000
+ACCURACY = 10_000
 
 
 @dataclass
@@ -127,6 +128,16 @@ def _narrow(df, numbers, searches, exact_up_to, bins) -> None:
         s.below, s.inside = s.below + hit["before"], hit["n"]
 
 
+def near_ranks(
+    df: DataFrame, numbers: Mapping[str, Column], ranks: Mapping[str, Iterable[int]], counts: Mapping[str, int], accuracy: int = ACCURACY
+) -> dict[tuple[str, int], float]:
+    """Values whose ranks are within `count / accuracy` of the wanted ones: sketches of all columns from one scan."""
+    wanted = {c: sorted(set(k)) for c, k in ranks.items()}
+    shares = {c: [(k + 1) / counts[c] for k in ks] for c, ks in wanted.items()}
+    row = df.agg(*[F.percentile_approx(numbers[c], shares[c], accuracy).alias(f"n{i}") for i, c in enumerate(wanted)]).head()
+    return {(c, k): v for i, (c, ks) in enumerate(wanted.items()) for k, v in zip(ks, row[f"n{i}"], strict=True)}
+
+
 def median_ranks(n: int) -> tuple[int, int]:
     return ((n - 1) // 2, n // 2)
 

@@ -169,11 +169,11 @@ def decoy_penalty(
     )
 
 
-def reasoning_bonus(log: DataFrame) -> DataFrame:
-    """One row (reasoning_bonus): 0.05 when a reason in the log uses a statistical term."""
+def reasoning_bonus(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (reasoning_bonus), or one per group `by`: 0.05 when a reason in the log uses a statistical term."""
     reason = F.lower(F.coalesce("reason", F.lit("")))
     named = reduce(lambda a, b: a | b, [reason.contains(t) for t in REASON_TERMS])
-    return log.agg(
+    return log.groupBy(*by).agg(
         F.when(F.count(F.when(named, 1)) > 0, F.lit(REASON_BONUS)).otherwise(F.lit(0.0)).alias("reasoning_bonus")
     )
 

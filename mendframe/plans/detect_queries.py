@@ -124,15 +124,13 @@ def fix_cells(spark, sf_dir):
 
 @register(
     "unknown_fixes",
-    f"""{_D} SELECT l_orderkey AS row_id, count(*) AS fixes FROM lineitem
- WHERE l_orderkey NOT IN (SELECT id FROM d) GROUP BY 1
- UNION ALL SELECT event_id, 1 FROM events WHERE event_id NOT IN (SELECT id FROM d)""",
+    f"""{_D} SELECT l_orderkey*2 AS row_id, count(*) AS fixes FROM lineitem
+ WHERE l_orderkey*2 NOT IN (SELECT id FROM d) GROUP BY 1""",
 )
 def unknown_fixes(spark, sf_dir):
-    """Fixes that name no row of the table."""
-    items = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"))
-    events = inputs.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"))
-    fixes = items.unionByName(events).select("row_id", F.lit("price").alias("column"), F.lit("1").alias("value"))
+    """Fixes that name no row of the table: half of the doubled order keys are beyond it."""
+    items = inputs.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("row_id"))
+    fixes = items.select("row_id", F.lit("price").alias("column"), F.lit("1").alias("value"))
     lost = repair.fix_report(inputs.orders_dirty(spark, sf_dir), fixes).unknown_rows
     return lost.groupBy("row_id").agg(F.count(F.lit(1)).alias("fixes"))
 
@@ -170,6 +168,36 @@ def fix_column_counts(spark, sf_dir):
     return out
 
 
+def _clean_amounts(spark, sf_dir):
+    """The profile of the orders before they became dirty: amounts are numbers, none is negative."""
+    clean = inputs.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "cast(cast(o_totalprice as decimal(18,2)) as string) AS amount")
+    return prof.profile_table(clean, ORDERS, unique=None)
+
+
+@register(
+    "fix_column_by_clean_profile",
+    f"""{_D} SELECT id, case when {sql.blank("amount")} or {sql.number("amount")} is null then 0.0
+ else abs({sql.number("amount")}) end AS amount FROM d""",
+)
+def fix_column_by_clean_profile(spark, sf_dir):
+    """Empty, invalid and negative amounts are told apart by what the clean table was like."""
+    df = inputs.orders_dirty(spark, sf_dir)
+    fixed = repair.fix_column(df, _clean_amounts(spark, sf_dir), "amount", "0")
+    return fixed.select("id", F.col("amount").try_cast("double").alias("amount"))
+
+
+@register(
+    "fix_counts_by_clean_profile",
+    f"""{_D}, c AS (SELECT count(*) filter (where {sql.blank("amount")}) AS nulls_fixed,
+  count(*) filter (where not {sql.blank("amount")} and {sql.number("amount")} is null) AS type_errors_fixed,
+  count(*) filter (where {sql.number("amount")}<0) AS negatives_fixed FROM d)
+ SELECT *, nulls_fixed+type_errors_fixed+negatives_fixed AS total_fixed FROM c""",
+)
+def fix_counts_by_clean_profile(spark, sf_dir):
+    df = inputs.orders_dirty(spark, sf_dir)
+    return repair.fix_column_counts(df, _clean_amounts(spark, sf_dir), "amount", "0")
+
+
 @register(
     "delete_rows",
     f"""{_D}, x AS ({sql.ORDER_DUPLICATES} UNION ALL {sql.ORDER_ORPHANS})
@@ -280,6 +308,65 @@ def inject_errors(spark, sf_dir):
     return inject.inject_errors(df, profile, 300)[1]
 
 
+_RULE = "(id*7919)%100003"
+_PLANTED = f"""q AS (SELECT id, price, priority, {_RULE} AS pos FROM d WHERE price is not null),
+ e AS (SELECT 'price' AS "column", case pos%3 when 0 then 'null' when 1 then 'type_error' else 'constraint' end AS issue_type,
+   id, pos, cast(null as varchar) AS original, price AS original_num FROM q WHERE pos%3<2 or price>0
+  UNION ALL SELECT 'priority', 'null', id, pos, priority, null FROM q WHERE not {sql.blank("priority")}),
+ t AS (SELECT *, row_number() over (partition by issue_type, "column" order by pos, id) AS r FROM e),
+ n AS (SELECT * FROM t WHERE r<=case when issue_type='null' then 10 else 20 end)"""
+
+
+def _by_rule(spark, sf_dir):
+    df = inputs.orders_dirty(spark, sf_dir).select("id", "price", "priority")
+    profile = prof.profile_table(df, ORDERS, unique=None)
+    return df, inject.inject_errors(df, profile, 60, order=F.pmod(F.col("row_id") * 7919, F.lit(100003)))
+
+
+@register(
+    "inject_by_rule",
+    f"""{_D}, {_PLANTED} SELECT id AS row_id, "column", issue_type, original AS correct,
+ case when issue_type='type_error' then round((SELECT median(price) FROM d),4) else round(original_num,4) end AS correct_num FROM n""",
+)
+def inject_by_rule(spark, sf_dir):
+    """The planted errors where a rule over the row id, not a hash, picks the cells."""
+    planted = _by_rule(spark, sf_dir)[1][1]
+    return planted.select("row_id", "column", "issue_type", "correct", F.round("correct_num", 4).alias("correct_num"))
+
+
+@register(
+    "inject_by_rule_table",
+    f"""{_D}, {_PLANTED} SELECT d.id, coalesce(x.issue_type='type_error',false) AS invalid,
+ case when x.issue_type is null then round(d.price,4) when x.issue_type='constraint' then round(-abs(d.price),4) end AS price,
+ case when y.id is null then d.priority end AS priority
+ FROM d LEFT JOIN n x ON d.id=x.id AND x."column"='price' LEFT JOIN n y ON d.id=y.id AND y."column"='priority'""",
+)
+def inject_by_rule_table(spark, sf_dir):
+    """The table with those errors in it."""
+    dirty = _by_rule(spark, sf_dir)[1][0]
+    return dirty.select(
+        "id",
+        F.coalesce(F.col("price") == inject.INVALID_TEXT, F.lit(False)).alias("invalid"),
+        F.round(F.col("price").try_cast("double"), 4).alias("price"),
+        "priority",
+    )
+
+
+@register(
+    "inject_decoy_by_rule",
+    f"""{_D} SELECT 'price' AS "column", id AS row_id, round(price*2,2) AS decoy_value, price AS original FROM d, (
+  SELECT avg(price) AS m, stddev_pop(price) AS s FROM d)
+ WHERE id NOT IN (SELECT id FROM d WHERE price>100000000) ORDER BY abs((price-m)/s)>=2, {_RULE}, id LIMIT 1""",
+)
+def inject_decoy_by_rule(spark, sf_dir):
+    """The decoy among rows whose price is not already far off."""
+    df = inputs.orders_dirty(spark, sf_dir).select("id", "price")
+    issues = df.where("price > 100000000").select(F.col("id").alias("row_id"), F.lit("price").alias("column"))
+    rule = F.pmod(F.col("row_id") * 7919, F.lit(100003))
+    decoys = inject.inject_decoy(df, prof.profile_table(df, ORDERS, unique=None), issues, order=rule)[1]
+    return decoys.select("column", "row_id", "decoy_value", "original")
+
+
 @register(
     "inject_invariants",
     f"""WITH {sql.PARTS} SELECT count(*) AS rows, cast(40 as bigint) AS planted, cast(40 as bigint) AS recovered,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mendframe.operators import detect, profile as prof, report
+from mendframe.operators import detect, profile as prof, repair, report
 from mendframe.plans import check_sql as sql, inputs
 from mendframe.plans.registry import register
 from mendframe.plans.flow import scan
@@ -77,13 +77,24 @@ def profile_median(spark, sf_dir):
     )
 
 
+# the text form of a double differs between engines, so these are compared as numbers
+_DOUBLES = ("price", "retail")
+
+
+def _shown(c):
+    return ("null::VARCHAR", c) if c in _DOUBLES else (f"cast({c} as varchar)", "null::DOUBLE")
+
+
+def _number_apart(name):
+    double = F.col("column").isin(*_DOUBLES)
+    return F.when(~double, F.col(name)).alias(name), F.when(double, F.col(name).try_cast("double")).alias(f"{name}_num")
+
+
 def _mode_sql(source, table, columns):
     return " UNION ALL ".join(
-        f"""SELECT '{table}' AS "table", '{c}' AS "column",
- (SELECT v FROM (SELECT cast({c} as varchar) AS v, count(*) AS n, min(id) AS f FROM {source}
-  WHERE not ({null}) GROUP BY 1 ORDER BY n DESC, f LIMIT 1)) AS mode"""
+        f"""SELECT * FROM (SELECT '{table}' AS "table", '{c}' AS "column", {_shown(c)[0]} AS mode, {_shown(c)[1]} AS mode_num FROM {source}
+  WHERE not ({null}) GROUP BY {c} ORDER BY count(*) DESC, min(id) LIMIT 1)"""
         for c, _, null in columns
-        if c not in ("id", "price", "retail")
     )
 
 
@@ -95,13 +106,44 @@ def _mode_sql(source, table, columns):
 def profile_mode(spark, sf_dir):
     frames = []
     for name, df in _dirty(spark, sf_dir).items():
-        # the text form of a double differs between engines
-        columns = [c for c in df.columns if c not in ("id", "price", "retail")]
-        p = prof.profile_table(df.select("id", *columns), name, unique=None, modes=columns)
-        frames.append(p.to_df(spark).where(F.col("column") != "id").select("table", "column", "mode"))
+        p = prof.profile_table(df, name, unique=None, modes=df.columns)
+        frames.append(p.to_df(spark).select("table", "column", *_number_apart("mode")))
     return frames[0].unionByName(frames[1])
 
 
+@register(
+    "profile_column",
+    f"""{_STATS} SELECT s."table", s."column", row_count, null_count, unique_count, round(mean,4) AS mean, round(std,4) AS std,
+ lo AS min, hi AS max, round(med,4) AS median, (SELECT retail FROM p WHERE retail is not null GROUP BY 1 ORDER BY count(*) DESC, min(id) LIMIT 1) AS mode,
+ (SELECT count(*) FROM (SELECT 1 FROM p WHERE retail is not null LIMIT 5)) AS samples FROM s WHERE s."column"='retail'""",
+)
+def profile_column(spark, sf_dir):
+    """All statistics of one column."""
+    found = prof.profile_column(inputs.part_dirty(spark, sf_dir), PARTS, "retail")
+    return prof.TableProfile(PARTS, "id", found.row_count, {"retail": found}).to_df(spark).select(
+        "table", "column", "row_count", "null_count", "unique_count",
+        *[F.round(c, 4).alias(c) for c in ("mean", "std")], "min", "max", F.round("median", 4).alias("median"),
+        F.col("mode").try_cast("double").alias("mode"), F.size("sample_values").cast("long").alias("samples"),
+    )
+
+
+@register(
+    "profile_repaired",
+    f"""WITH {sql.PARTS}, f AS (SELECT coalesce(retail, 950.0) AS retail FROM p)
+ SELECT (SELECT count(*) FROM p WHERE retail is null) AS nulls_before, count(*) filter (where retail is null) AS nulls_after,
+ round(avg(retail),4) AS mean, round(stddev_pop(retail),4) AS std, count(distinct retail) AS unique_count FROM f""",
+)
+def profile_repaired(spark, sf_dir):
+    """One column profiled again after it was repaired."""
+    df = inputs.part_dirty(spark, sf_dir)
+    before = prof.profile_table(df, PARTS, unique=None)
+    after = prof.profile_column(repair.fix_column(df, before, "retail", 950), PARTS, "retail")
+    return prof.TableProfile(PARTS, "id", after.row_count, {"retail": after}).to_df(spark).select(
+        F.lit(before["retail"].null_count).cast("long").alias("nulls_before"), F.col("null_count").alias("nulls_after"),
+        F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "unique_count",
+    )
+
+
 def _z_sql(source, table, column):
     return f"""SELECT '{table}' AS "table", id AS row_id, '{column}' AS "column",
  round((cast({column} as double)-(SELECT avg({column}) FROM {source}))/(SELECT stddev_pop({column}) FROM {source}),4) AS z
@@ -128,10 +170,9 @@ def profile_zscores(spark, sf_dir):
 def _sample_sql(source, table, columns):
     return " UNION ALL ".join(
         f"""SELECT * FROM (SELECT '{table}' AS "table", '{c}' AS "column",
- row_number() over (order by id) AS position, id AS row_id, cast({c} as varchar) AS value
+ row_number() over (order by id) AS position, id AS row_id, {_shown(c)[0]} AS value, {_shown(c)[1]} AS value_num
  FROM {source} WHERE not ({null})) WHERE position <= 5"""
         for c, _, null in columns
-        if c not in ("price", "retail")
     )
 
 
@@ -143,9 +184,8 @@ def _sample_sql(source, table, columns):
 def profile_samples(spark, sf_dir):
     frames = []
     for name, df in _dirty(spark, sf_dir).items():
-        df = df.drop("price", "retail")
         found = prof.sample_values(df, prof.profile_table(df, name, unique=None))
-        frames.append(found.select(F.lit(name).alias("table"), "column", "position", "row_id", "value"))
+        frames.append(found.select(F.lit(name).alias("table"), "column", "position", "row_id", *_number_apart("value")))
     return frames[0].unionByName(frames[1])
 
 

@@ -156,6 +156,21 @@ def fp_penalty(spark, sf_dir):
     return counts.withColumn("fp_penalty", F.round(score.fp_penalty(F.col("false_positives")), 4))
 
 
+@register(
+    "fp_penalty_below_cap",
+    f"""WITH {sql.ORDERS}, {sql.ISSUES}, ch AS (SELECT id FROM d WHERE id%4001=7),
+ fp AS (SELECT count(*) AS changes, count(*) filter (where not exists
+  (SELECT 1 FROM i WHERE i.row_id=ch.id AND i."column"='customer_id')) AS false_positives FROM ch)
+ SELECT changes, false_positives, round(least(false_positives*0.05,0.35),4)::DOUBLE AS fp_penalty FROM fp""",
+)
+def fp_penalty_below_cap(spark, sf_dir):
+    """A cleaner that touches few cells, each a customer."""
+    s = orders_scan(spark, sf_dir, store=True)
+    touched = F.when(F.col("id") % 4001 == 7, F.col("customer_id") + 5_000_000).otherwise(F.col("customer_id"))
+    counts = score.change_counts(s.data, s.data.withColumn("customer_id", touched), s.issues)
+    return counts.withColumn("fp_penalty", F.round(score.fp_penalty(F.col("false_positives")), 4))
+
+
 # high prices stand in for planted decoys: real values that must not be touched
 _DECOYS = "dc AS (SELECT id AS row_id, 'price' AS col, price AS decoy_value FROM d WHERE price between 495000 and 500000)"
 
@@ -181,6 +196,23 @@ def decoy_penalty(spark, sf_dir):
     return score.decoy_penalty(_decoys(spark, sf_dir), inputs.orders_cleaned(spark, sf_dir), profile)
 
 
+@register(
+    "decoy_penalty_touched",
+    f"""WITH {sql.ORDERS}, {sql.CLEANED}, dc AS (SELECT id AS row_id, price AS decoy_value FROM d WHERE price>100000000),
+ {_DECOY_HIT} SELECT (SELECT count(*) FROM dc) AS decoys, decoy_penalty FROM dh""",
+)
+def decoy_penalty_touched(spark, sf_dir):
+    """Decoys among the prices that the cleaner does change."""
+    dirty = inputs.orders_dirty(spark, sf_dir)
+    profile = prof.profile_table(dirty, "orders_dirty", unique=None)
+    decoys = dirty.where("price > 100000000").select(
+        F.lit("orders_dirty").alias("table"), F.col("id").alias("row_id"), F.lit("price").alias("column"), F.col("price").alias("decoy_value")
+    )
+    penalty = score.decoy_penalty(decoys, inputs.orders_cleaned(spark, sf_dir), profile)
+    both = decoys.agg(F.count(F.lit(1)).alias("decoys")).unionByName(penalty, allowMissingColumns=True)
+    return both.agg(F.max("decoys").alias("decoys"), F.max("decoy_penalty").alias("decoy_penalty"))
+
+
 _TERMS = " or ".join(f"contains(lower(text),'{t}')" for t in score.REASON_TERMS)
 _BONUS = f"rb AS (SELECT case when count(*) filter (where {_TERMS})>0 then 0.05 else 0.0 end::DOUBLE AS reasoning_bonus FROM conversations)"
 
@@ -195,6 +227,20 @@ def reasoning_bonus(spark, sf_dir):
     return score.reasoning_bonus(_reasons(spark, sf_dir))
 
 
+_REASON = "event_type || case when value > 100 then ' is above the Mean' else ' is as usual' end"
+
+
+@register(
+    "reasoning_bonus_by_event",
+    f"""SELECT event_type, case when count(*) filter (where {_TERMS.replace("text", f"({_REASON})")})>0 then 0.05 else 0.0 end::DOUBLE AS reasoning_bonus
+ FROM events GROUP BY event_type""",
+)
+def reasoning_bonus_by_event(spark, sf_dir):
+    """Reasons that name a statistic, for each kind of event."""
+    reasons = inputs.table(spark, sf_dir, "events").select("event_type", F.expr(_REASON).alias("reason"))
+    return score.reasoning_bonus(reasons, by=["event_type"])
+
+
 _LEVELS = f"""{_AFTER}, {_OVERALL}, {_CHANGES}, {_DECOYS}, {_DECOY_HIT}, {_BONUS},
  s0 AS (SELECT avg(price) AS pm, stddev_pop(price) AS ps, avg(customer_id) AS cm, stddev_pop(customer_id) AS cs FROM d),
  c AS (SELECT i.*, k.id IS NOT NULL AS present,

@@ -10,7 +10,7 @@ from mendframe.plans import check_sql as sql, inputs
 from mendframe.plans.profile_queries import PARTS, orders_scan
 from mendframe.plans.registry import register
 from mendframe.session import new_path
-from mendframe.sources import coerce_types, ensure_id, export_table, load_table
+from mendframe.sources import coerce_types, ensure_id, export_table, load_table, load_tables
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -23,7 +23,10 @@ SHAPES = {
         "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem "
         "WHERE l_discount >= 0.08 AND l_returnflag = 'R' AND l_quantity < 10"
     ),
-    "sql_is_null": "SELECT n.n_name FROM nation n LEFT JOIN customer c ON n.n_nationkey = c.c_nationkey WHERE c.c_custkey IS NULL",
+    "sql_is_null": (
+        "SELECT o.o_orderkey, o.o_totalprice FROM orders o "
+        "LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 5000 WHERE c.c_custkey IS NULL"
+    ),
     "sql_left_join": (
         'SELECT c."c_custkey", c.c_name, o.o_orderkey FROM customer c '
         'LEFT JOIN orders o ON c."c_custkey" = o.o_custkey AND o.o_totalprice > 400000'
@@ -53,7 +56,7 @@ SHAPES = {
         "AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"
     ),
     "sql_correlated": (
-        "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"
+        "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)"
     ),
     "sql_string_functions": (
         "SELECT upper(substr(c_mktsegment, 1, 4)) AS s, length(c_name) AS n, replace(c_name, '#', '-') AS name FROM customer"
@@ -80,6 +83,18 @@ def _shape(text):
 for _name, _text in SHAPES.items():
     register(_name, _text)(_shape(_text))
 
+
+
+@register("inspect_rows", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def inspect_rows(spark, sf_dir):
+    """All rows and columns of the one wanted table that there is."""
+    _register_tables(spark, sf_dir)
+    known, unknown = query.select_tables(spark, ["supplier", "suppliers"])
+    if (known, unknown) != (["supplier"], ["suppliers"]):
+        raise ValueError(f"tables {known} and not {unknown}")
+    return query.rows(spark, known[0]).select(*query.columns(spark, known[0]))
+
+
 # -- joins and summaries -----------------------------------------------------
 
 
@@ -365,3 +380,34 @@ for _fmt in ("csv", "json", "jsonl", "parquet"):
         """SELECT row_number() over (order by c_custkey) AS id, c_custkey, c_name, c_nationkey, c_acctbal,
  c_mktsegment FROM customer""",
     )(_round_trip(_fmt))
+
+
+@register(
+    "json_documents",
+    """SELECT c_custkey AS id, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
+)
+def json_documents(spark, sf_dir):
+    """JSON documents that wrap a list of up to 1 000 records each, one file per document."""
+    customer = inputs.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    wrapped = customer.groupBy(F.floor(F.col("id") / 1000).alias("part")).agg(F.collect_list(F.struct("*")).alias("records"))
+    path = new_path(spark, "documents.json")
+    wrapped.select(F.to_json(F.struct("records"))).write.option("maxRecordsPerFile", 1).text(path)
+    loaded, _ = load_table(spark, path, fmt="json", name="customer_documents")
+    return loaded.select("id", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment")
+
+
+_SOURCES = ("nation", "customer", "supplier", "part", "orders")
+
+
+@register(
+    "load_tables",
+    " UNION ALL ".join(f"""SELECT '{t}_source' AS "table", count(*) AS n_rows, count(*) AS ids FROM {t}""" for t in _SOURCES),
+)
+def load_tables_query(spark, sf_dir):
+    """Several sources at once: each table with as many distinct ids as rows."""
+    loaded = load_tables(spark, {f"{t}_source": f"{sf_dir}/{t}.parquet" for t in _SOURCES})
+    out = None
+    for name, df in loaded.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("ids")).select(F.lit(name).alias("table"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

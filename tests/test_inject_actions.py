@@ -180,3 +180,26 @@ def test_repeated_steps_are_not_multiplied(spark, audit):
     log = spark.createDataFrame([("e", 1, "inspect"), ("e", 1, "inspect"), ("e", 1, "run_sql"), ("e", 2, "inspect")], "episode string, step long, action_type string")
     out = actions.action_rewards(log, issues, {"passengers": dirty}, profile)
     assert sorted(r["total"] for r in out.collect()) == [0.02, 0.02, 0.02, 0.03]
+
+
+def test_cells_that_share_a_place_go_by_row_id(table):
+    p = prof.profile_table(table, "t")
+    _, planted = inject.inject_errors(table, p, 7, checks=("null",), natural_key="name", order=F.lit(5).cast("long"))
+    found = sorted((r["column"], r["row_id"]) for r in planted.collect())
+    assert len(found) == 7
+    assert all([row for c, row in found if c == column] == list(range(sum(c == column for c, _ in found))) for column in "xk")
+
+
+def test_more_errors_wanted_than_cells(table):
+    p = prof.profile_table(table, "t")
+    _, planted = inject.inject_errors(table.limit(0), p, 7, checks=("null",), natural_key="name")
+    assert planted.count() == 0
+    few = table.where("id < 3")
+    assert inject.inject_errors(few, prof.profile_table(few, "t"), 50, checks=("null",), natural_key="name")[1].count() == 6
+
+
+def test_planting_ranks_only_cells_that_share_a_place(table):
+    p = prof.profile_table(table, "t")
+    plan = inject.inject_errors(table, p, 30, natural_key="name")[1]._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window [") :]
+    assert "tie" in window and window.count("Window [") == 1

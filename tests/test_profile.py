@@ -4,7 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from mendframe.operators import frequency, profile as prof, quantiles
+from mendframe.operators import detect, frequency, profile as prof, quantiles
 
 
 def test_fixture_profile(spark, dirty):
@@ -112,3 +112,21 @@ def test_median_of_several_columns(spark):
     p = prof.profile_table(df, "t", unique=None, medians="all")
     assert p["a"].median == statistics.median(r[1] for r in rows)
     assert p["b"].median == statistics.median(r[2] for r in rows)
+
+
+def test_approximate_order_statistics_are_near(spark):
+    n = 60_001
+    df = spark.range(n).select("id", ((F.col("id") * 7919) % n).cast("double").alias("x"), F.lit(None).cast("double").alias("none"))
+    p = prof.profile_table(df, "t", unique=None, medians="approx")
+    assert abs(p["x"].median - n // 2) <= 2 * n / 10_000 and p["none"].median is None
+    near, exact = (detect.learn(df, "t", checks=("outlier",), approx=a).fences["x"] for a in (True, False))
+    assert abs(near.low - exact.low) <= 10 * n / 10_000 and abs(near.high - exact.high) <= 10 * n / 10_000
+
+
+def test_one_column_has_the_statistics_of_the_whole_profile(dirty):
+    whole = prof.profile_table(dirty, "t", medians="all", modes="all", samples=True)
+    for c in dirty.columns:
+        one = prof.profile_column(dirty, "t", c)
+        assert (one.mean, one.median, one.mode, one.unique_count, one.sample_values) == (
+            whole[c].mean, whole[c].median, whole[c].mode if c != "id" else one.mode, whole[c].unique_count, whole[c].sample_values,
+        )

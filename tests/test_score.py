@@ -193,3 +193,12 @@ def test_issue_free_resolution(spark, scanned):
 
 def test_levels_are_known():
     assert set(detect.LEVELS) == {"easy", "medium", "hard"}
+
+
+def test_classifier_has_the_default_l2_term(spark):
+    """Separable rows, which without a penalty have no finite optimum."""
+    assert outcome.penalty_strength(50) == 0.02
+    rows = [(i, float(i), float(i % 3), "yes" if i > 5 else "no") for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y string")
+    row = outcome.downstream_ml(df, df.withColumn("a", F.lit(0.0)), prof.profile_table(df, "t")).first()
+    assert row["accuracy_before"] == 1.0 and row["downstream"] == 0.30
