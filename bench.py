@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  tables to read (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    runs per query, the best one counts (default 1)
+BENCH_RUNS    runs per query, the best one counts (default 2)
 Queries write into a sink that keeps nothing.
 """
 
@@ -51,9 +51,17 @@ HEADLINES = (
     "action_rewards",
     "coerce_types",
     "round_trip_csv",
+    "round_trip_json",
     "round_trip_parquet",
+    "delete_rows",
+    "fp_penalty",
+    "score_composite",
+    "episode_totals",
+    "inject_errors",
+    "inject_decoy",
+    "downstream_ml",
 )
-RUNS = int(os.environ.get("BENCH_RUNS", "1"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def main() -> None:

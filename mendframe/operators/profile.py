@@ -1,6 +1,7 @@
 """Column profiles: one aggregate over the table, one small row per column.
 
-`profile_table` runs a single scan for counts, types and moments.  Distinct
+`profile_table` runs a single scan for counts, types and moments (one per
+`COLUMNS_AT_ONCE` columns of a wide table).  Distinct
 counts, medians and modes are separate passes that are only run for the columns
 and statistics asked for, because each of them shuffles values.
 """
@@ -8,8 +9,10 @@ and statistics asked for, because each of them shuffles values.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,7 @@ TEXTUAL = ("str", "unknown")
 # distinct values it needs.
 KEY_HINTS = ("name", "email", "code", "ref", "id_", "key", "title")
 KEY_UNIQUENESS = 0.70
+COLUMNS_AT_ONCE = 48
 
 PROFILE_SCHEMA = T.StructType(
     [
@@ -153,25 +157,26 @@ def number_columns(df: DataFrame, columns: Iterable[str]):
     return {c: cells.to_number(quoted(c), types[c]) for c in columns}
 
 
-def profile_table(
-    df: DataFrame,
-    table: str,
-    id_col: str = "id",
-    unique: Sequence[str] | str | None = "all",
-    medians: Sequence[str] | str | None = None,
-    modes: Sequence[str] | str | None = None,
-    samples: bool = False,
-) -> TableProfile:
-    """Profile every column of `df`.
+def _counts_and_moments(df: DataFrame, types: dict[str, T.DataType]) -> dict[str, object]:
+    """The aggregates of every column, `COLUMNS_AT_ONCE` columns a pass.
 
-    `unique`, `medians` and `modes` take "all", a list of columns, or None;
-    `unique="approx"` and `medians="approx"` use sketches for all columns.
+    A pass reads its own columns only, so the passes of a wide table read together
+    what one would, and each stays small enough to be compiled.
     """
-    types = types_of(df)
-    names = list(types)
+    numbered = list(enumerate(types.items()))
+    parts = [numbered[at : at + COLUMNS_AT_ONCE] for at in range(0, len(numbered), COLUMNS_AT_ONCE)] or [[]]
+    out: dict[str, object] = {}
+    with ThreadPoolExecutor(2) as pool:
+        run = inheritable_thread_target(df.sparkSession)(_moments_of)
+        for row in pool.map(lambda part: run(df, part), parts):
+            out |= row
+    return out
+
+
+def _moments_of(df: DataFrame, part: list[tuple[int, tuple[str, T.DataType]]]) -> dict[str, object]:
     prepared, aggs = [], [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(names):
-        col, t = quoted(c), types[c]
+    for i, (c, t) in part:
+        col = quoted(c)
         present = f"p{i}"
         if isinstance(t, T.BooleanType) or not (cells.is_numeric(t) or cells.is_text(t)):
             prepared.append(F.when(cells.not_null_like(col, t), F.lit(1)).alias(present))
@@ -195,7 +200,26 @@ def profile_table(
             slot = F.pmod(F.xxhash64(present), F.lit(64)).cast("int")
             bit = F.when(F.col(present).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), slot))
             aggs.append(F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0)).alias(f"u{i}"))
-    r = df.select(*prepared).agg(*aggs).collect()[0].asDict()
+    return df.select(*prepared).agg(*aggs).collect()[0].asDict()
+
+
+def profile_table(
+    df: DataFrame,
+    table: str,
+    id_col: str = "id",
+    unique: Sequence[str] | str | None = "all",
+    medians: Sequence[str] | str | None = None,
+    modes: Sequence[str] | str | None = None,
+    samples: bool = False,
+) -> TableProfile:
+    """Profile every column of `df`.
+
+    `unique`, `medians` and `modes` take "all", a list of columns, or None;
+    `unique="approx"` and `medians="approx"` use sketches for all columns.
+    """
+    types = types_of(df)
+    names = list(types)
+    r = _counts_and_moments(df, types)
 
     rows = r["rows"]
     columns = {}
