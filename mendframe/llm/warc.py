@@ -2,8 +2,9 @@
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary, itself compressed, followed by one Zstandard frame per record.  The
-dictionary is trained on records of the same archive: an even choice of at most
-`SAMPLE_BYTES` bytes of them (a documented bound; every record is written).
+dictionary is trained on records of the same archive: an even choice of about
+`SAMPLE_BYTES` bytes of them, the first `SAMPLE_PIECE` bytes of each (documented
+bounds of the training only; every record is written whole).
 
 Records with equal payloads become one `response`, that with the smallest id,
 and `revisit` records that refer to it.  Which one that is comes from a narrow
@@ -43,6 +44,7 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConte
 ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
+SAMPLE_PIECE = 128 << 10
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
@@ -77,7 +79,7 @@ def _dictionary(records: list[bytes], size: int, sample_bytes: int):
 
     total = sum(map(len, records))
     step = max(1, -(-total // sample_bytes))
-    samples = [r[: 128 << 10] for r in records[::step]]
+    samples = [r[:SAMPLE_PIECE] for r in records[::step]]
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8)
     except zstandard.ZstdError:
