@@ -12,7 +12,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import zstandard
-from mendframe.llm import common, mixing, sharding, simhash, topk, warc
+from mendframe.llm import common, jaccard, mixing, sharding, simhash, topk, warc
 from mendframe.session import materialize, new_path
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -263,6 +263,42 @@ def test_links_of_fingerprints(spark):
         assert [labels[r[1]] for r in rows] == plain_components(prints)
 
 
+def plain_shingles(text):
+    words = (text or "").lower().split(" ")
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("bucket", [1, 64])  # one: every group takes the way of large ones
+def test_similar_texts_against_brute_force(spark, tmp_path, bucket):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):  # families with 0 to 7 changed words: similarity from below 0.7 to 1
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(150, 400))]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(0, 8)):
+                own[rng.randrange(len(own))] = f"New{rng.randrange(900)}"
+            texts.append(" ".join(own[: len(own) - rng.randrange(0, 9)]))
+    passage = " ".join(f"common{i}" for i in range(40))
+    texts += [passage + " " + " ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(90)]
+    texts += ["few words", "Few WORDS", "few words more"]
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs += 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert pairs > 150 and 90 + 12 < len({*root}) < len(texts) - 30
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.doc_id for r in jaccard.keep_first(table, bucket=bucket).collect()) == sorted({*root})
+    if bucket == jaccard.BUCKET:
+        stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+        assert sorted(r.doc_id for r in stage(spark, table, str(tmp_path)).collect()) == sorted({*root})
+
+
 # mixing
 
 
