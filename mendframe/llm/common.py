@@ -33,7 +33,8 @@ def with_keys(docs: DataFrame) -> DataFrame:
     Rows meet their verdicts by these keys, so texts need not be stored again;
     rows with equal keys are equal and interchangeable.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # xxhash64 passes over a NULL, so its place is hashed too
+    columns = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     return docs.select(F.struct("*").alias("whole"), F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(1), *columns).alias("k2"))
 
 

@@ -148,6 +148,13 @@ def test_ranks_are_gapless(spark):
     assert all(sorted(x) == list(range(len(x))) for x in by.values()) and len(by) == 3
 
 
+def test_keys_tell_where_a_null_stands(spark):
+    rows = [(1, "t", "x", None, 1), (1, "t", None, "x", 1), (1, None, "t", "x", 1), (None, "t", "x", None, 1), (1, "t", "x", None, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for key in ("k1", "k2"):
+        assert common.with_keys(table).select(key).distinct().count() == 4
+
+
 # search
 
 
