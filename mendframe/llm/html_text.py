@@ -6,7 +6,8 @@ rows, options, terms) and yields open, text and close in tree order.  `render`
 walks those events: invisible subtrees are passed over, white space collapses
 outside pre, blocks start lines and paragraphs keep a blank line, lists get
 bullets or numbers and indent, and the cells of a table are padded to the width
-of their column.  Nothing recurses, so depth costs no stack.
+of their column.  Labels of buttons, fields of text, all options of a select (a line each), formulas
+and the text that SVG draws are visible.  Nothing recurses, so depth costs no stack.
 
 One page is one row; pages are independent, so this is a narrow Arrow map.
 
@@ -33,7 +34,7 @@ from mendframe.llm.common import batches_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 HIDDEN = frozenset(
-    "head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select textarea button area base col embed input link meta param source track".split()
+    "head script style template noscript title iframe noembed noframes object audio video canvas datalist area base col embed input link meta param source track".split()
 )
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre hr figure fieldset form".split())
 BLOCK = PARAGRAPH | frozenset(
@@ -42,6 +43,14 @@ BLOCK = PARAGRAPH | frozenset(
 CELL = frozenset(("td", "th"))
 ROWS = frozenset(("thead", "tbody", "tfoot"))
 
+# SVG and MathML: what is never drawn, where HTML goes on inside, which tags end them.
+UNDRAWN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata pattern symbol".split())
+HTML_INSIDE = frozenset("annotation-xml desc foreignobject mi mn mo ms mtext title".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split()
+)
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+
 # What a start tag closes, and what keeps it from looking further up.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -56,9 +65,11 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
+    "button": ({"button"}, {"table", "td", "th", "caption", "object", "template"}),
 }
 # Elements that an inner tag of the same kind does not close from outside.
-WALL = frozenset(("table", "td", "th", "caption", "button", "object", "template"))
+WALL = frozenset(("table", "td", "th", "caption", "object", "template"))
+P_WALL = WALL | {"button"}  # for p alone
 
 TAG = re.compile(
     r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))"
@@ -70,6 +81,7 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/\Z")  # a slash that belongs to a value
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -85,15 +97,21 @@ Event = tuple[str, str, dict]
 def events(page: str) -> Iterator[Event]:
     """("open", tag, attributes), ("text", text, {}) and ("close", tag, {}) in tree order, always balanced."""
     stack: list[str] = []
+    foreign: list[bool] = []  # for each in the stack: are its children SVG or MathML
     opened: Counter[str] = Counter()  # how often each tag is in the stack: most searches need not begin
     at, n = 0, len(page)
 
     def close_to(k: int) -> Iterator[Event]:
         while len(stack) > k:
             tag = stack.pop()
+            foreign.pop()
             opened[tag] -= 1
             yield "close", tag, {}
 
+    def out_of_head() -> Iterator[Event]:
+        while stack and stack[-1] == "head":
+            yield from close_to(len(stack) - 1)
+
     def closing(tags: set[str], walls) -> int:
         """Where the outermost of `tags` stands above the last wall; the height of the stack if there is none."""
         found = len(stack)
@@ -108,6 +126,9 @@ def events(page: str) -> Iterator[Event]:
 
     while at < n:
         m = TAG.search(page, at)
+        stop = m.start() if m else n
+        if stack and stack[-1] == "head" and page[at:stop].strip(" \t\n\r\f"):
+            yield from out_of_head()
         if not m:
             yield "text", unescape(page[at:]), {}
             break
@@ -120,7 +141,7 @@ def events(page: str) -> Iterator[Event]:
                 yield "open", "br", {}
                 yield "close", "br", {}
                 continue
-            walls = () if tag == "table" else {"table"} if tag in CELL or tag in ROWS or tag in ("tr", "caption") else WALL - {tag}
+            walls = () if tag == "table" else {"table"} if tag in CELL or tag in ROWS or tag in ("tr", "caption") else P_WALL if tag == "p" else WALL - {tag}
             for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k] == tag:
                     yield from close_to(k)
@@ -129,29 +150,36 @@ def events(page: str) -> Iterator[Event]:
                     break
         elif m[2]:
             tag, rest = m[2].lower(), m[3]
+            if tag not in IN_HEAD:
+                yield from out_of_head()
+            while tag in BREAKOUT and foreign and foreign[-1]:
+                yield from close_to(len(stack) - 1)
+            drawn = tag in ("svg", "math") or bool(foreign and foreign[-1])
             if tag in CLOSES:
                 yield from close_to(closing(*CLOSES[tag]))
-            elif stack and stack[-1] == "head" and tag not in HIDDEN:
-                yield from close_to(len(stack) - 1)
             if tag in BLOCK and opened["p"]:
-                yield from close_to(closing({"p"}, WALL))
+                yield from close_to(closing({"p"}, P_WALL))
             if tag in ("tr", "td", "th"):  # what a table needs above a cell
                 inside = closing({"table"}, ())
                 if inside < len(stack) and tag in CELL and "tr" not in stack[inside:]:
                     stack.append("tr")
+                    foreign.append(False)
                     opened["tr"] += 1
                     yield "open", "tr", {}
             yield "open", tag, attributes(rest) if rest and not rest.isspace() else {}
-            if tag in VOID:
+            if tag in VOID or (drawn and rest.endswith("/") and not UNQUOTED_END.search(rest)):
                 yield "close", tag, {}
                 continue
             stack.append(tag)
+            foreign.append(drawn and tag not in HTML_INSIDE)
             opened[tag] += 1
-            if tag in RAW:
+            if tag in RAW and not drawn:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 stop = end.start() if end else n
                 if stop > at:
                     raw = page[at:stop]
+                    if tag == "textarea":  # as a browser does with the first line end
+                        raw = re.sub(r"\A\r?\n", "", raw)
                     yield "text", unescape(raw) if tag in ("title", "textarea") else raw, {}
                 at = stop
     yield from close_to(0)
@@ -266,10 +294,11 @@ def render(page: str | None) -> str:
     spans: list[int] = []
     hidden = pre = 0
     closed_details: list[int] = []
-    depth = 0
+    drawing: list[bool] = []  # of each open svg, and of what draws text in it: is text drawn
+    foreign = depth = 0
     for kind, value, attrs in events(page or ""):
         if kind == "text":
-            if hidden or (closed_details and closed_details[-1] >= 0 and depth >= closed_details[-1]):
+            if hidden or (drawing and not drawing[-1]) or (closed_details and closed_details[-1] >= 0 and depth >= closed_details[-1]):
                 continue
             if pre:
                 flows[-1].verbatim(value)
@@ -281,10 +310,24 @@ def render(page: str | None) -> str:
         flow, tag = flows[-1], value
         if kind == "open":
             depth += 1
-            if hidden or tag in HIDDEN or "hidden" in attrs or ("style" in attrs and INVISIBLE.search(attrs["style"])):
+            if hidden or tag in HIDDEN or (foreign and tag in UNDRAWN) or "hidden" in attrs or ("style" in attrs and INVISIBLE.search(attrs["style"])):
                 hidden += 1
                 continue
-            if tag == "br":
+            if tag in ("svg", "math"):
+                foreign += 1
+            if tag == "svg" or (drawing and tag in ("text", "foreignobject")):
+                drawing.append(tag != "svg")
+                flow.space = True
+            elif tag == "button":
+                flow.space = True
+            elif tag in ("option", "optgroup", "textarea"):
+                flow.block(False)
+                pre += tag == "textarea"
+                if tag != "textarea" and attrs.get("label"):
+                    flow.words(attrs["label"])
+                    if tag == "option":  # stands for its text
+                        hidden += 1
+            elif tag == "br":
                 flow.br()
             elif tag == "hr":
                 flow.block(True)
@@ -329,7 +372,17 @@ def render(page: str | None) -> str:
         if hidden:
             hidden -= 1
             continue
-        if tag == "table" and tables:
+        if tag in ("svg", "math"):
+            foreign -= 1
+        if tag == "svg" or (drawing and tag in ("text", "foreignobject")):
+            drawing.pop()
+            flow.space = True
+        elif tag == "button":
+            flow.space = True
+        elif tag in ("select", "textarea"):
+            flow.block(False)
+            pre -= tag == "textarea"
+        elif tag == "table" and tables:
             lines = tables.pop().layout()
             flow = flows[-1]
             for line in lines:

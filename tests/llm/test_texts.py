@@ -249,6 +249,20 @@ def test_best_pattern_against_trying_all():
         ("x<!-- never closed <p>y", "x"),
         ("x < y and <a href='unclosed>z", "x < y and"),
         ("<img alt='A cat'><input value=no>", "A cat"),
+        ("a<button>Send</button>b", "a Send b"),
+        ("a<textarea>\none\n two &amp; <b></textarea>b", "a\none\n two & <b>\nb"),
+        ("<select><optgroup label=G><option>x<option label=L>y</select>z<datalist><option>no</datalist>", "G\nx\nL\nz"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("<svg><title>no</title><defs><text>no</text></defs>no<text>a <tspan>b</tspan></text><text>c</text></svg>d", "a b c d"),
+        ("<svg><foreignObject><p>in</foreignObject><text>t</text></svg>", "in\n\nt"),
+        ("<body><svg/><p>text</p></body>", "text"),
+        ("<svg><path d='M0'/><text/><text>t</text></svg><math/>u", "t u"),
+        ("<svg><g a=b/><p>text", "text"),
+        ("<div><button>Menu</div>rest", "Menu\nrest"),
+        ("<p>a<button><p>b</p>c</button>d</p>e", "a\n\nb\n\nc d\n\ne"),
+        ("<button>a<button>b</button>c", "a b c"),
+        ("<head><title>no</title>plain <b>text</b>", "plain text"),
+        ("<head> <head><meta x><li>item", "- item"),
     ],
 )
 def test_layout(page, text):
