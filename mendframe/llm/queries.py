@@ -38,7 +38,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.transform("embedding", lambda x: F.floor(F.lit(64.0) * x.cast("double")).cast("double"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, vector=F.when(finite, whole))
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, vector=F.when(finite, whole), all_rows=True)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

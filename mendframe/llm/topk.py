@@ -16,8 +16,9 @@ drops a pair.  The best k of each block merge by a ranked window, which Spark
 limits to k rows per query before the shuffle.
 
 Cases: vectors that are NULL or hold NULL, NaN or infinity take no part, nor do
-rows without id; of rows that share an id the smallest vector counts; vectors are
-compared with vectors of equal length only; an empty table gives no rows.
+rows without id; of rows that share an id the smallest vector counts, or with `all_rows`
+each one is a query and a candidate for other ids, and the rows of a query id share its
+ranks; vectors are compared with vectors of equal length only; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def _matrix(packed: pd.Series) -> np.ndarray:
 
 def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     """Rows with a `block` number; blocks hold one pivot's rows, `size` at most, evenly."""
-    numbered = ranked(rows, "pivot", ["id"], "at")
+    numbered = ranked(rows, "pivot", ["id", "vec"], "at")
     counts = materialize(rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("blocks")), f"{name}-pivots")
     before = Window.orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("pivot").alias("_pivot"), "n", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("base"))
@@ -177,16 +178,17 @@ def top_k(
     vector: Column | None = None,
     data_block: int = DATA_BLOCK,
     query_block: int = QUERY_BLOCK,
+    all_rows: bool = False,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row for which `query` (over `id`) holds."""
     given = F.col("embedding") if vector is None else vector
     rows = table.select(F.col(id_col).cast("long").alias("id"), given.cast("array<double>").alias("vec")).where(
         "id IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, v -> v IS NULL OR isnan(v) OR abs(v) = double('infinity'))"
     )
-    rows = materialize(rows.groupBy("id").agg(F.min("vec").alias("vec")), "topk-vectors")
+    rows = materialize(rows if all_rows else rows.groupBy("id").agg(F.min("vec").alias("vec")), "topk-vectors")
     total = rows.count()
     wanted = min(MAX_PIVOTS, -(-total // data_block))
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # at most MAX_PIVOTS rows
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(wanted).collect()  # at most MAX_PIVOTS rows
     pivots: dict[int, np.ndarray] = {}
     for row in chosen:
         pivots.setdefault(len(row["vec"]), []).append(row["vec"])

@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from checking import compare, connect
 from mendframe.llm.queries import CHECKS, QUERIES
+from pyspark.sql import functions as F
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -19,6 +20,15 @@ def test_query_equals_its_sql(spark, name):
     assert compare(QUERIES[name](spark, SF_DIR), connect(SF_DIR), CHECKS[name]) is None
 
 
+def test_top_k_of_repeated_ids_equals_its_sql(spark, tmp_path):
+    given = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    other = given.where("vec_id % 3 = 0").withColumn("embedding", F.reverse("embedding"))
+    given.where("vec_id % 7 = 0").unionByName(given).unionByName(other).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(SF_DIR)
+    con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert compare(QUERIES["op4_topk"](spark, str(tmp_path)), con, CHECKS["op4_topk"]) is None
+
+
 def test_native_sharding_runs_no_python(spark):
     plan = QUERIES["op2_sharding"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
