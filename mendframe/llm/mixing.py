@@ -9,7 +9,8 @@ and each document keeps its expectation.  The one that is still fractional meets
 A source is dealt to cells of about `CELL` documents.  A cell leaves one fractional
 document at most; residuals of `FAN` cells meet in a cell of the next level, and so on
 up a reduction tree whose root leaves one document, rounded at random.  A hot
-source has more cells and more levels, never a larger group.  Documents go through
+source has more cells and more levels, never a larger group; equal rows are counted
+first and dealt evenly.  Documents go through
 a cell from long to short; what a size class leaves is paired with all smaller
 documents at once, so that what is left at last is small.
 
@@ -127,20 +128,35 @@ def source_targets(stored: DataFrame, share: float = SHARE, most: float = MOST,
     return materialize(weighed.select("source", "n", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target")), "mix-targets")
 
 
+def deal(counted: DataFrame) -> DataFrame:
+    """Rows (k2, key, cells, m), each standing for `m` equal ones, as single rows with a `cell`.
+
+    Equal rows go to consecutive cells, so that a cell has its share of them; those
+    that share a cell become single rows only where the cell is.
+    """
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("m", "cells") - 1)).alias("_turn")
+    spread = counted.select("*", turn).withColumn("cell", F.pmod(F.pmod("k2", "cells") + F.col("_turn"), F.col("cells")))
+    times = F.floor(F.col("m") / F.col("cells")) + (F.col("_turn") < F.pmod("m", "cells")).cast("long")
+    spread = materialize(spread.withColumn("_times", times).drop("m", "_turn"), "mix-dealt")
+    once = spread.where("_times = 1").drop("_times")
+    often = spread.where("_times > 1").repartition("key", "cell").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+    return once.unionByName(often.drop("_times", "_copy"))
+
+
 def round_copies(stored: DataFrame, seed: int = SEED, cell: int = CELL, fan: int = FAN, **shares) -> DataFrame:
     """Stored (k1, k2, doc_id, source, size) with source_size, target and whole `copies`."""
     targets = source_targets(stored, **shares).select(F.col("source").alias("_source"), "n", "source_size", "target")
-    joined = stored.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    counted = stored.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
+    joined = counted.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long"))
     joined = joined.withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(0.0))
     joined = joined.withColumn("key", null_key("source")).withColumn("cells", F.ceil(F.col("n") / F.lit(cell)).cast("long"))
-    joined = joined.withColumn("cell", F.pmod(F.col("k2"), F.col("cells")))
     # ids go through pandas as text: NULL and long ids stay what they are
     id_type = stored.schema["doc_id"].dataType
     joined = joined.withColumn("doc_id", F.col("doc_id").cast("string"))
     columns = ["k1", "k2", "doc_id", "source", "size", "source_size", "target", "base", "p"]
-    level = materialize(joined.select(*columns, "key", "cells", "cell"), "mix-level")
+    level = materialize(deal(joined.select(*columns, "key", "cells", "m")), "mix-level")
     kind = {f.name: f.dataType.simpleString() for f in level.schema}
     schema = ", ".join(f"{c} {kind[c]}" for c in level.columns)
     decided = []

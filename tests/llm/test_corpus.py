@@ -350,6 +350,28 @@ def test_mix(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixture(empty).count() == 0
 
 
+def test_equal_rows_are_dealt_to_all_cells(spark):
+    rows = [(5, "=a", 40, 333), (-9, "=a", 40, 7), ((1 << 63) - 1, "=b", 3, 100), (2, "=b", 3, 1)]
+    table = materialize(spark.createDataFrame(rows, "k2 long, key string, cells long, m long"))
+    found = Counter((r.k2, r.key, r.cell) for r in mixing.deal(table).collect())
+    for k2, key, cells, m in rows:
+        own = [n for (a, b, _), n in found.items() if (a, b) == (k2, key)]
+        assert sum(own) == m and len(own) == min(m, cells) and max(own) - min(own) <= 1
+    assert all(0 <= cell < 40 for _, _, cell in found)
+
+
+def test_a_repeated_row_is_no_large_group(spark, monkeypatch):
+    rows = [(1, "one two three", "en", "a", 13)] * 900 + [(i, "word " * (i % 50), "en", "a", 9) for i in range(2, 400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stored = []
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: stored.append((name, materialize(df, name))) or stored[-1][1])
+    found = mixing.mix(table, cell=16, fan=4).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r[0] for r in rows)
+    assert abs(sum(r.taken for r in found) - found[0].target) <= 50
+    first = next(df for name, df in stored if name == "mix-level")
+    assert first.groupBy("key", "cell").count().agg(F.max("count")).head()[0] <= 64
+
+
 def test_pivot_keeps_totals_and_expectations():
     size = np.array([50.0, 40, 30, 20, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1])
     p = np.full(len(size), 0.3)
