@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import SCHEMA, passenger_rows
+from samples import SCHEMA, passenger_rows
 from pyspark.sql import functions as F
 
 from mendframe.operators import detect, profile as prof, repair

@@ -3,7 +3,7 @@ import math
 import os
 
 import pytest
-from conftest import CSV_TEXT
+from samples import CSV_TEXT
 from pyspark.sql import functions as F
 
 from mendframe.session import materialize, shared_folder
