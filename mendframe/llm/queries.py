@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, with checking SQL where it can be said.
+"""The registered queries of the operators and of the pipeline, with checking SQL where it can be said.
 
 Each applies its operator, with the parameters of production, to its whole table.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mendframe.llm import host_rules, html_text, line_dedup, mixing, packing, sharding, simhash, tokens, topk, warc
+from mendframe.llm import hard_negatives, host_rules, html_text, line_dedup, log_bilinear, mixing, packing, sharding, simhash, spelling, tokens, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,13 +66,28 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(F.col("whole.doc_id").alias("doc_id"), "n_lines", "n_removed", F.col("clean").alias("text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label, F.when(finite, whole))
+
+
+def op12_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_sharding, op3_html, op4_topk, op5_simhash, op6_tokens, op7_host_rules, op8_mixing, op9_packing, op10_line_spread, pipeline)
+    for f in (op1_warc, op2_sharding, op3_html, op4_topk, op5_simhash, op6_tokens, op7_host_rules, op8_mixing, op9_packing, op10_line_spread, op11_hard_negatives, op12_log_bilinear, op13_spelling, pipeline)
 }
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -176,6 +191,27 @@ SELECT page_id, size::BIGINT AS payload_bytes,
 FROM letters
 """
 
-CHECKS = {"op1_warc": OP1, "op4_topk": OP4, "op7_host_rules": OP7, "op10_line_spread": OP10}
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.uid, a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, list_dot_product(a.e, x.e)::BIGINT AS score
+  FROM v a JOIN v x ON a.uid <> x.uid
+  WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, id) AS place FROM s WHERE same) WHERE place <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.uid, p.place ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.uid = s.uid AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+CHECKS = {"op1_warc": OP1, "op4_topk": OP4, "op7_host_rules": OP7, "op10_line_spread": OP10, "op11_hard_negatives": OP11}
 if corpus_pipeline.ORACLE_SQL is not None:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
