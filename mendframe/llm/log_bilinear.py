@@ -205,11 +205,11 @@ def _codes(corpus: Corpus) -> tuple[Codes, np.ndarray]:
 
 
 def _read(texts: list[str | None], codes: Codes, classes: np.ndarray) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; of all tokens: codes (the end is HEAD), classes, and where each text's tokens start."""
+    """Words of each text; of all tokens: codes (the end comes after the head words), classes, and where each text's tokens start."""
     words = [tokens_of(t) for t in texts]
     ends = np.cumsum([len(x) + 1 for x in words]) - 1
     code = np.empty(ends[-1] + 1, dtype=np.int64)
-    code[ends] = HEAD
+    code[ends] = len(classes)
     inner = np.ones(len(code), bool)
     inner[ends] = False
     code[inner] = np.fromiter((codes[w] for x in words for w in x), dtype=np.int64, count=int(inner.sum()))
@@ -253,9 +253,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return materialize(rows.select("body").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")
 
 
-def corpus_of(counts: DataFrame, texts: int) -> Corpus:
+def corpus_of(counts: DataFrame, texts: int, head_words: int = HEAD) -> Corpus:
     """Head words and class sums; only these reach the driver."""
-    head = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.col("c").desc(), "word").limit(HEAD).toArrow()
+    head = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.col("c").desc(), "word").limit(head_words).toArrow()
     words = [w.encode() for w in head["word"].to_pylist()]
     number = head["c"].to_numpy().astype(np.int64)
     suffix = (F.crc32(F.substring(F.encode("word", "utf-8"), -2, 2)) % SUFFIXES).alias("s")
@@ -307,13 +307,13 @@ def train(rows: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Parameters:
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("body"), _hash(F.col(id_col)).alias("rest"))
     training = rows.where(F.col("rest") != 0)
     counts = word_counts(training)
-    corpus = corpus_of(counts, training.count())
+    corpus = corpus_of(counts, training.count(), head_words)
     model = train(training.withColumn("turn", (F.col("rest") % ROUNDS).cast("int")), corpus)
     shared = spark.sparkContext.broadcast((corpus, model))
     kind, given = rows.schema["doc_id"].dataType.simpleString(), ("doc_id", "held_out", "uid")
@@ -326,12 +326,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         codes, classes = _codes(corpus)
         tables = _once(f"tables:{corpus.key}", lambda: Tables(model))
         inside = corpus.inside()
-        # by code: what a word adds to the base, and what it adds within its class; the end stands at HEAD
-        logs = np.zeros(HEAD + 1)
-        logs[: len(corpus.words)] = np.log10(corpus.counts + ADDED)
-        logs[HEAD] = np.log10(corpus.class_counts[END] + ADDED)
+        # by code, the end last: what a word adds to the base, and what it adds within its class
+        logs = np.log10(np.append(corpus.counts, corpus.class_counts[END]) + ADDED)
         shares = logs.copy()
-        shares[:OWN] = shares[HEAD] = 0
+        shares[:OWN] = shares[-1] = 0
         for part in (batch.slice(at, 128) for batch in batches for at in range(0, batch.num_rows, 128)):
             words, code, kinds, starts = _read(part.column("body").to_pylist(), codes, classes)
             a, b = _contexts(kinds, starts)
@@ -339,7 +337,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             known = code >= 0
             log_prob[known] += shares[code[known]]
             base = np.where(known, logs[np.maximum(code, 0)], 0)
-            seen = known & ((code < HEAD) | (corpus.tokens > 0))
+            seen = known & ((code < len(corpus.words)) | (corpus.tokens > 0))
             rare = []
             for x, at in zip(words, starts.tolist(), strict=True):
                 found = Counter(x[i] for i in np.flatnonzero(code[at : at + len(x)] < 0).tolist())
