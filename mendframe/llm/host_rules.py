@@ -3,9 +3,11 @@
 A document fails by itself when it has too few words or repeats itself.  Failures
 are then summed per host.  Rates of small hosts say little, so each is shrunk
 towards the corpus: failures are taken as beta-binomial, the prior's mean and
-strength come from the moments of all hosts' rates, and a host is rejected when
-(failures + alpha) / (documents + alpha + beta) exceeds `MAX_RATE`.  Documents of
-rejected hosts go as well.
+strength come from the moments of all hosts' rates, and a host's shrunken rate is the posterior mean
+(failures + alpha) / (documents + alpha + beta).  A host is judged against the corpus: it is
+rejected when even the lower limit of its rate, `DEVIATIONS` posterior standard deviations below
+the mean, has `MULTIPLE` times the odds of the corpus rate.  Documents of rejected hosts go as
+well.  Hosts that differ by chance only shrink to the corpus rate, and none is rejected.
 
 Features are computed once and stored.  Host sums are a partial aggregate, so a
 hot host costs nothing; verdicts return by a join with the rejected hosts only,
@@ -30,7 +32,8 @@ from mendframe.session import materialize
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
-MAX_RATE = 0.8
+MULTIPLE = 3
+DEVIATIONS = 2
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -85,15 +88,22 @@ def base_failed() -> Column:
     return few | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
 
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """(host, n, failed, rate): failures of (host, base_failed) rows, shrunk by the empirical prior."""
+def host_rates(rows: DataFrame, multiple: float = MULTIPLE) -> DataFrame:
+    """(host, n, failed, rate, low, limit): failures of (host, base_failed) rows, shrunk by the empirical prior.
+
+    `low` is the lower limit of the rate, `limit` what it must not exceed.
+    """
     hosts = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")), "hosts")
     # moments need only sums over hosts
     k, n, f, nn, ffn = hosts.agg(
         F.count(F.lit(1)), F.sum("n"), F.sum("failed"), F.sum(F.col("n").cast("double") * F.col("n")), F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n"))
     ).head()
     alpha, beta = prior(k, n or 0, f or 0, nn or 0.0, ffn or 0.0)
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta)))
+    rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(alpha + beta + 1)))
+    mean = f / n if n else 0.0
+    limit = multiple * mean / (1 - mean + multiple * mean)
+    return hosts.withColumn("rate", rate).withColumn("low", F.col("rate") - DEVIATIONS * spread).withColumn("limit", F.lit(limit))
 
 
 def prior(hosts: int, n: int, failed: int, n_squares: float, weighted_squares: float) -> tuple[float, float]:
@@ -110,30 +120,30 @@ def prior(hosts: int, n: int, failed: int, n_squares: float, weighted_squares: f
     return mean * strength, (1 - mean) * strength
 
 
-def rejected(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """(_host): the hosts whose shrunken rate is too high, stored."""
-    return materialize(host_rates(rows).where(F.col("rate") > max_rate).select(F.col("host").alias("_host")), "hosts-rejected")
+def rejected(rows: DataFrame, multiple: float = MULTIPLE) -> DataFrame:
+    """(_host): the hosts whose rate is certainly too high, stored."""
+    return materialize(host_rates(rows, multiple).where("low > limit").select(F.col("host").alias("_host")), "hosts-rejected")
 
 
-def judge(stored: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def judge(stored: DataFrame, multiple: float = MULTIPLE) -> DataFrame:
     """Stored rows with `host` and `base_failed`, and `kept`."""
-    marked = stored.join(rejected(stored, max_rate).withColumn("_bad", F.lit(True)), F.col("host") == F.col("_host"), "left")
+    marked = stored.join(rejected(stored, multiple).withColumn("_bad", F.lit(True)), F.col("host") == F.col("_host"), "left")
     return marked.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
 
 
-def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+def host_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", multiple: float = MULTIPLE) -> DataFrame:
     """(doc_id, the features, base_failed, kept) for every row of `docs`."""
     rows = docs.select(F.col(id_col).alias("doc_id"), null_key(host_col).alias("host"), features(F.col(text_col)).alias("f"))
     rows = rows.select("doc_id", "host", "f.*").withColumn("base_failed", base_failed())
-    return judge(materialize(rows, "host-features"), max_rate).drop("host")
+    return judge(materialize(rows, "host-features"), multiple).drop("host")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", multiple: float = MULTIPLE) -> DataFrame:
     """The rows of `docs` that are kept, with their own columns.
 
     Features are computed for the host sums and again for the verdicts: cheaper than storing every text once more.
     """
     rows = docs.select(F.struct("*").alias("whole"), null_key(host_col).alias("host"), features(F.col(text_col)).alias("f"))
     rows = rows.select("whole", "host", "f.n_words", "f.n_repeat_words").withColumn("base_failed", base_failed())
-    bad = rejected(rows.select("host", "base_failed"), max_rate)
+    bad = rejected(rows.select("host", "base_failed"), multiple)
     return rows.where(~F.col("base_failed")).join(bad, F.col("host") == F.col("_host"), "left_anti").select("whole.*")

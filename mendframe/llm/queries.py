@@ -53,6 +53,13 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def host_rules_of_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host rules over sections of each source, by the number of digits of their documents' lengths."""
+    docs = _table(spark, sf_dir, "documents")
+    section = F.concat("source", F.lit("/"), F.length(F.col("n_chars").cast("string")).cast("string"))
+    return host_rules.host_verdicts(docs.withColumn("section", section), host_col="section")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -87,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_sharding, op3_html, op4_topk, op5_simhash, op6_tokens, op7_host_rules, op8_mixing, op9_packing, op10_line_spread, op11_hard_negatives, op12_log_bilinear, op13_spelling, pipeline)
+    for f in (op1_warc, op2_sharding, op3_html, op4_topk, op5_simhash, op6_tokens, op7_host_rules, op8_mixing, op9_packing, op10_line_spread, op11_hard_negatives, op12_log_bilinear, op13_spelling, host_rules_of_sections, pipeline)
 }
 
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -108,9 +115,14 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-OP7 = f"""
+HOST = "source"
+SECTION = "source || '/' || length(n_chars::VARCHAR)"
+
+
+def host_sql(host: str) -> str:
+    return f"""
 WITH d AS (
-  SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text,
+  SELECT doc_id, coalesce('=' || {host}, '') AS host, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), {WORDS_SQL}) AS w
   FROM documents
 ), pos AS (
@@ -144,8 +156,11 @@ WITH d AS (
 ), p AS (
   SELECT mean, CASE WHEN mean IN (0, 1) THEN 1.0 WHEN between_hosts <= noise / (n + 1) THEN n
                     ELSE greatest(noise / between_hosts - 1, 1e-6) END AS strength FROM v
+), r AS (
+  SELECT host, n + strength AS weight, (failed + mean * strength) / (n + strength) AS rate,
+         {host_rules.MULTIPLE} * mean / (1 - mean + {host_rules.MULTIPLE} * mean) AS most FROM h, p
 ), bad AS (
-  SELECT host FROM h, p WHERE (failed + mean * strength) / (n + strength) > {host_rules.MAX_RATE}
+  SELECT host FROM r WHERE rate - {host_rules.DEVIATIONS} * sqrt(rate * (1 - rate) / (weight + 1)) > most
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
@@ -153,6 +168,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
+
 OP10 = f"""
 WITH l AS (
   SELECT doc_id, coalesce('=' || source, '') AS site, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
@@ -212,6 +228,6 @@ WITH v AS (
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
 
-CHECKS = {"op1_warc": OP1, "op4_topk": OP4, "op7_host_rules": OP7, "op10_line_spread": OP10, "op11_hard_negatives": OP11}
+CHECKS = {"op1_warc": OP1, "op4_topk": OP4, "op7_host_rules": host_sql(HOST), "host_rules_of_sections": host_sql(SECTION), "op10_line_spread": OP10, "op11_hard_negatives": OP11}
 if corpus_pipeline.ORACLE_SQL is not None:
     CHECKS["pipeline"] = corpus_pipeline.ORACLE_SQL
