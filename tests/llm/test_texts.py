@@ -35,26 +35,122 @@ def test_token_counts_equal_the_library(docs, rows):
 def test_token_counts_of_odd_texts():
     library, count = Tokenizer.from_file(WORDS), tokens.counter(WORDS)
     rng = random.Random(1)
-    letters = "abcdeinthsr'éßΣσς東京İǅ12 9\n\t.,!?-_<|>́  \x1f\x85😀ﬁ"
+    letters = "abcdeinthsr'éßΣσς東京İǅ12 9\n\t.,!?-_<|>́  \x1f\x85😀ﬁ"
     for _ in range(800):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
-        assert tokens.close(tokens.chunk_map(text, count), count) == len(ids_of(library, text)), repr(text)
-    for text in ("<|startoftext|>a<|endoftext|><|endoftext|>", "a" * 3000, "antidisestablishmentarianism" * 50):
-        assert tokens.close(tokens.chunk_map(text, count), count) == len(ids_of(library, text))
+        assert count.count(text) == len(ids_of(library, text)), repr(text)
+        assert by_chunks(count, text, rng.randrange(1, 20))[0] == count.count(text), repr(text)
+    for text in ("<|startoftext|>a<|endoftext|><|endoftext|>", "a" * 3000, "antidisestablishmentarianism" * 50, "İ'SΣ" * 50):
+        assert count.count(text) == len(ids_of(library, text))
+
+
+def by_chunks(count, text, size):
+    """Tokens by composed state maps, and how often a chunk had to run again."""
+    stretches, total = count.segments(text)
+    again = 0
+    for plain in stretches:
+        cut = list(tokens.pieces(plain, size))
+        assert "".join(p for p, _, _ in cut) == plain
+        after = [bool(kind) for _, kind, _ in cut[1:]] + [False]
+        maps = [tokens.chunk_map(count, p, kind, left, more) for (p, kind, left), more in zip(cut, after, strict=True)]
+        while (found := tokens.compose(maps)[""])[2] is not None:
+            at, state = found[2]
+            maps[at] |= tokens.chunk_map(count, *cut[at], after[at], state)
+            again += 1
+        total += found[1]
+    return total, again
+
+
+def drawn(letters, n, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+LONG = {
+    "one letter": "x" * 9000,
+    "two letters": "ab" * 4000,
+    "japanese": "東京" * 2000 + "タワー" * 1000,
+    "base64": drawn("abcXYZ0123456789+/", 9000, 3),
+    "letters": drawn("abcdefghijklmnopqrstuvwxyz", 9000, 4),
+    "dots": "." * 3001,
+    "marks": "!?'" * 3000,
+    "mixed": "a" * 1500 + "-" * 3000 + "é" * 2000 + "'re" * 400,
+    "special": "<|endoftext|>a" * 500,
+    "blank": " \n" * 3000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+@pytest.mark.parametrize("size", [200, 1100, 4000])
+def test_state_maps_of_long_texts(name, size):
+    library, count = Tokenizer.from_file(WORDS), tokens.counter(WORDS)
+    assert by_chunks(count, LONG[name], size)[0] == len(ids_of(library, LONG[name]))
 
 
-def test_maps_of_chunks_compose_in_any_way():
+def test_a_state_that_was_not_guessed_is_run_again(monkeypatch):
     count = tokens.counter(WORDS)
-    rng = random.Random(2)
-    text = "".join(rng.choice("there is  a\nthing's end ") for _ in range(500))
-    whole = tokens.close(tokens.chunk_map(text, count), count)
-    for size in (1, 2, 7, 64, 499):
-        maps = [tokens.chunk_map(text[i : i + size], count) for i in range(0, len(text), size)]
-        assert tokens.close(tokens.compose(maps, count), count) == whole
-        folded = maps[0]
-        for m in maps[1:]:
-            folded = tokens.join_maps(folded, m, count)
-        assert tokens.close(folded, count) == whole
+    monkeypatch.setattr(tokens, "PHASES", 1)
+    found = [by_chunks(count, "." * n, size) for n, size in ((3001, 700), (2999, 533), (3333, 401))]
+    assert [total for total, _ in found] == [count.count("." * n) for n in (3001, 2999, 3333)]
+    assert sum(again for _, again in found) > 0
+
+
+def test_long_texts_run_once_and_in_chunks(spark):
+    library = Tokenizer.from_file(WORDS)
+    texts = [*LONG.values(), "word, " * 3000]
+    rows = [(i, t, 7, "k") for i, t in enumerate(texts)] + [(100 + i, texts[0], 7, "k") for i in range(40)] + [(None, texts[3], 7, "k"), (3, texts[3], 7, "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, at long, key string").repartition(3)
+    found = tokens.count_tokens(table, WORDS, chunk=1000).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((r[0], len(ids_of(library, r[1]))) for r in rows)
+
+
+def test_maps_compose_in_any_way():
+    count = tokens.counter(WORDS)
+    plain = count.segments(LONG["letters"] + " there is a thing's end " * 40 + LONG["base64"])[0][0]
+    cut = list(tokens.pieces(plain, 300))
+    after = [bool(kind) for _, kind, _ in cut[1:]] + [False]
+    maps = [{s: (o, n, None) for s, (o, n) in tokens.chunk_map(count, *p, more).items()} for p, more in zip(cut, after, strict=True)]
+    left = maps[0]
+    for i, m in enumerate(maps[1:], 1):
+        left = tokens.join_maps(left, m, i)
+    right = maps[-1]
+    for i in range(len(maps) - 2, -1, -1):
+        right = tokens.join_maps(maps[i], right, i + 1)
+    assert left[""] == right[""] and left[""][1] == count.count(plain)
+
+
+def test_tokens_side_by_side_against_plain_merges():
+    machine = tokens.counter(WORDS).machine
+    text_of, todo = {0: ()}, [0]
+    for node in todo:
+        for s, child in machine.child[node].items():
+            text_of[child] = (*text_of[node], s)
+            todo.append(child)
+    node_of = {t: n for n, t in text_of.items()}
+
+    def encode(parts):
+        parts = [node_of[(s,)] for s in parts]
+        while len(parts) > 1:
+            rank, i = min((machine.rank.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
+                break
+            parts[i : i + 2] = [node_of[text_of[parts[i]] + text_of[parts[i + 1]]]]
+        return parts
+
+    rng = random.Random(5)
+    known = [n for n in text_of if machine.is_token[n]]
+    for n in rng.sample(known, 3000):
+        assert machine._alone(n) == (encode(text_of[n]) == [n])
+        text = text_of[n]
+        for at in range(1, len(text)):
+            a, b = node_of[text[:at]], node_of.get(text[at:])
+            if b and machine.is_token[a] and machine.is_token[b] and machine._alone(a) and machine._alone(b):
+                assert machine._apart(a, b) == (encode(text) == [a, b])
+    inner = [n for n in known if text_of[n][-1] < 256 and machine._alone(n)]
+    for _ in range(5000):
+        a, b = rng.choice(inner), rng.choice(known)
+        if machine._alone(b):
+            assert machine._apart(a, b) == (encode(text_of[a] + text_of[b]) == [a, b])
 
 
 # quality rules
@@ -99,6 +195,18 @@ def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
     assert {r.doc_id for r in left.collect()} == {i for i, k in kept.items() if k}
 
 
+def test_like_hosts_shrink_to_the_corpus(spark):
+    rows = [(f"h{i % 7}", i % 100 < 12) for i in range(7000)]
+    found = host_rules.host_rates(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()
+    assert all(abs(r.rate - 0.12) < 1e-3 and r.low < r.limit for r in found)
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_hosts_that_all_fail_or_none(spark, share):
+    rows = [(f"h{i % 3}", bool(share)) for i in range(30)]
+    assert host_rules.rejected(spark.createDataFrame(rows, "host string, base_failed boolean")).count() == 0
+
+
 def test_prior():
     assert host_rules.prior(3, 30, 0, 300.0, 0.0) == (0.0, 1.0)
     alpha, beta = host_rules.prior(2, 200, 100, 2 * 100.0**2, 50.0)  # equal rates: as strong as the corpus
