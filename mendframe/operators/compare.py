@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +11,29 @@ from mendframe.functions import cells
 from mendframe.operators.frequency import quoted, types_of
 
 
-def changes(before: DataFrame, after: DataFrame, id_col: str = "id") -> DataFrame:
+def changes(before: DataFrame, after: DataFrame, id_col: str = "id", beside: Sequence[str] = ()) -> DataFrame:
     """(row_id, column, change, before, after).
 
     `changed` has one row per differing cell, and one per filled cell of a column
     that `before` lacks; `dropped` has one per filled cell of a column that `after`
     lacks; a row on one side only gives one
     `removed` or `added` row without a column.  The versions join once on the
-    id in wide form, and only differing cells are unfolded.
+    id in wide form, and only differing cells are unfolded.  Columns of `before` named
+    `beside` are not compared but stand beside each change of their row, so that
+    what is known of a row needs no further join.
     """
+    known = before.select(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(beside)], "*").drop(*beside)
+    before = before.drop(*beside)
     b_types, a_types = types_of(before), types_of(after)
     shared = [c for c in after.columns if c in b_types and c != id_col]
     gained = [c for c in after.columns if c not in b_types and c != id_col]
     lost = [c for c in before.columns if c not in a_types and c != id_col]
-    left = before.select(
+    left = known.select(
         quoted(id_col).cast("long").alias("row_id"),
         F.lit(True).alias("_in_before"),
         *[quoted(c).alias(f"_b{i}") for i, c in enumerate(shared)],
         *[quoted(c).alias(f"_l{i}") for i, c in enumerate(lost)],
+        *[f"_k{i}" for i in range(len(beside))],
     )
     right = after.select(
         quoted(id_col).cast("long").alias("row_id"),
@@ -64,9 +71,9 @@ def changes(before: DataFrame, after: DataFrame, id_col: str = "id") -> DataFram
         old = F.col(f"_l{i}")
         found.append(F.when(shown & cells.not_null_like(old, b_types[c]), entry(F.lit(c), "dropped", old, nothing)))
     return (
-        joined.select("row_id", F.explode(F.array(*found)).alias("x"))
+        joined.select("row_id", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(beside)], F.explode(F.array(*found)).alias("x"))
         .where(F.col("x").isNotNull())
-        .select("row_id", "x.*")
+        .select("row_id", "x.*", *map(quoted, beside))
     )
 
 

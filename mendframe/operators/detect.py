@@ -453,11 +453,13 @@ def detect(
     checks: Sequence[str] | None = None,
     references: Mapping[str, DataFrame] | None = None,
     rules: Rules | None = None,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Every finding of the level's checks, as the issue table.
 
     A cell yields one finding per rule at most, so only rows that repeat an id can
-    repeat a finding; of those the smallest correction stays.
+    repeat a finding; of those the smallest correction stays.  `unique_ids` says that no
+    id is repeated (as behind `ensure_id`), and spares the shuffle of all findings.
     """
     checks = tuple(checks or LEVELS[level])
     rules = rules or learn(df, table, id_col, checks)
@@ -468,7 +470,7 @@ def detect(
         out = out.unionByName(detect_duplicates(df, rules))
     if "fk_violation" in checks and references:
         out = out.unionByName(detect_orphans(df, rules, references))
-    return distinct_findings(out)
+    return out.select(*ISSUE_COLUMNS) if unique_ids else distinct_findings(out)
 
 
 def distinct_findings(issues: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ one final aggregate, so no component multiplies the rows of another.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from mendframe.functions import cells
 from mendframe.operators import compare, detect, validate
+from mendframe.operators.frequency import quoted
 from mendframe.operators.profile import TableProfile
 
 # Fixed values of the scoring formulas.
@@ -114,6 +115,13 @@ def resolution_score(resolved: DataFrame, types: Sequence[str] | None = None) ->
     return resolved.agg(F.coalesce(_share(types), F.lit(1.0)).alias("score"))
 
 
+def resolution_scores(resolved: DataFrame, sets: Mapping[str, Sequence[str] | None]) -> DataFrame:
+    """(issues, score): `resolution_score` of several named sets of types, from one aggregate."""
+    row = resolved.agg(*[F.coalesce(_share(types), F.lit(1.0)).alias(f"s{i}") for i, types in enumerate(sets.values())])
+    entries = [F.struct(F.lit(name).alias("issues"), F.col(f"s{i}").alias("score")) for i, name in enumerate(sets)]
+    return row.select(F.explode(F.array(*entries)).alias("s")).select("s.*")
+
+
 def change_counts(
     dirty: DataFrame,
     cleaned: DataFrame,
@@ -126,20 +134,22 @@ def change_counts(
     A false positive is a changed cell without an issue, or a row that is gone
     without an issue and was not reported in `removed`.
     """
-    diff = compare.changes(dirty, cleaned, id_col)
-    # bounded by the number of columns per row
-    per_row = issues.groupBy("row_id").agg(F.collect_set("column").alias("issue_columns"))
-    marked = diff.join(per_row, "row_id", "left")
+    # what is known of a row joins the dirty table before the diff does: joins by one id, and nothing
+    # has to be dealt out again behind the full join; bounded by the number of columns per row
+    per_row = issues.groupBy(F.col("row_id").alias("_issue_row")).agg(F.collect_set("column").alias("_issue_columns"))
+    row = quoted(id_col).cast("long")
+    known = dirty.join(per_row, row == F.col("_issue_row"), "left").drop("_issue_row")
     if removed is not None:
-        told = removed.select("row_id", F.lit(True).alias("reported")).distinct()
-        marked = marked.join(told, "row_id", "left")
+        told = removed.select(F.col("row_id").alias("_told"), F.lit(True).alias("_reported")).distinct()
+        known = known.join(told, row == F.col("_told"), "left").drop("_told")
     else:
-        marked = marked.withColumn("reported", F.lit(None).cast("boolean"))
+        known = known.withColumn("_reported", F.lit(None).cast("boolean"))
+    marked = compare.changes(known, cleaned, id_col, beside=("_issue_columns", "_reported"))
     change = F.col("change")
     wrong_cell = (change == "changed") & ~F.coalesce(
-        F.array_contains("issue_columns", F.col("column")), F.lit(False)
+        F.array_contains("_issue_columns", F.col("column")), F.lit(False)
     )
-    wrong_row = (change == "removed") & F.col("issue_columns").isNull() & F.col("reported").isNull()
+    wrong_row = (change == "removed") & F.col("_issue_columns").isNull() & F.col("_reported").isNull()
     return marked.agg(
         # cells of a dropped column are neither: the published scores do not see them
         F.count(F.when(change != "dropped", 1)).alias("changes"),

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from mendframe.operators import compare, detect, repair, score, validate
+from mendframe.operators.frequency import quoted
 from mendframe.operators.profile import TableProfile
-from mendframe.session import materialize
+from mendframe.session import materialize, materialize_by
 
 
 @dataclass(frozen=True)
@@ -42,16 +43,30 @@ def scan(
     level: str = "hard",
     references: Mapping[str, DataFrame] | None = None,
     store: bool = False,
+    unique_ids: bool = False,
 ) -> Scan:
-    """Profile and detect; `store` writes the issue table to the shared folder.
+    """Profile and detect; `store` writes the table and its issues to the shared folder, in buckets of the id.
 
     Storing pays off when the issues feed several joins: they are computed
-    once, and the planner sees their real size.
+    once, and repairs, diffs, scores and validations join them with the table, and with its repaired versions,
+    bucket by bucket.  Ids are stored as longs.  `unique_ids` says that no id is repeated.
     """
     checks = detect.LEVELS[level]
+    if store:
+        data = materialize_by(with_long_id(data, id_col), id_col, f"{table}_data")
     rules = detect.learn(data, table, id_col, checks)
-    issues = detect.detect(data, table, id_col, checks=checks, references=references, rules=rules)
-    return Scan(table, data, rules, materialize(issues, "issues") if store else issues)
+    issues = detect.detect(data, table, id_col, checks=checks, references=references, rules=rules, unique_ids=unique_ids)
+    return Scan(table, data, rules, materialize_by(issues, "row_id", f"{table}_issues") if store else issues)
+
+
+def with_long_id(data: DataFrame, id_col: str) -> DataFrame:
+    return data.select(*[quoted(c).cast("long").alias(c) if c == id_col else quoted(c) for c in data.columns])
+
+
+def store_version(scanned: Scan, version: DataFrame, placed: bool = False) -> DataFrame:
+    """A repaired version of a stored table, stored in the same buckets."""
+    id_col = scanned.profile.id_col
+    return materialize_by(with_long_id(version, id_col), id_col, f"{scanned.table}_version", placed=placed)
 
 
 def clean(
@@ -74,7 +89,7 @@ def clean(
         cleaned = repair.apply_corrections(scanned.data, scanned.issues, scanned.profile.id_col)
     else:
         cleaned = cleaner(scanned)
-    cleaned = materialize(cleaned, "cleaned")
+    cleaned = store_version(scanned, cleaned)
     if touched is None:
         # one row per column
         diff = compare.cell_diff(scanned.data, cleaned, scanned.profile.id_col)

@@ -29,7 +29,8 @@ def _profiles(spark, sf_dir, **options):
 
 def orders_scan(spark, sf_dir, level="hard", store=False):
     refs = {"customer": inputs.table(spark, sf_dir, "customer")}
-    return scan(inputs.orders_dirty(spark, sf_dir), ORDERS, level=level, references=refs, store=store)
+    # the order key is the primary key of the given table
+    return scan(inputs.orders_dirty(spark, sf_dir), ORDERS, level=level, references=refs, store=store, unique_ids=True)
 
 
 @register(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mendframe.operators import detect, outcome, profile as prof, repair, score, validate
 from mendframe.plans import check_sql as sql, inputs
+from mendframe.plans.flow import store_version
 from mendframe.plans.profile_queries import PARTS, REMAINING, orders_scan
 from mendframe.plans.registry import register
 
@@ -40,7 +41,7 @@ _AFTER = f"""WITH {sql.ORDERS}, {sql.ISSUES}, {sql.CLEANED},
 
 def _checks(spark, sf_dir):
     s = orders_scan(spark, sf_dir, store=True)
-    cleaned = inputs.orders_cleaned(spark, sf_dir)
+    cleaned = store_version(s, inputs.orders_cleaned(spark, sf_dir))
     return validate.validate(cleaned, s.issues, s.profile, s.rules.natural_key)
 
 
@@ -110,14 +111,10 @@ def _share_sql(types):
 )
 def resolution_score(spark, sf_dir):
     s = orders_scan(spark, sf_dir, store=True)
-    resolved = score.resolve(s.issues, inputs.orders_cleaned(spark, sf_dir), s.profile)
-    out = None
-    for name, types in (("all", None), ("easy", detect.EASY), ("medium", detect.MEDIUM)):
-        part = score.resolution_score(resolved, types).select(
-            F.lit(name).alias("issues"), F.round("score", 6).alias("score")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    resolved = score.resolve(s.issues, store_version(s, inputs.orders_cleaned(spark, sf_dir)), s.profile)
+    return score.resolution_scores(resolved, {"all": None, "easy": detect.EASY, "medium": detect.MEDIUM}).select(
+        "issues", F.round("score", 6).alias("score")
+    )
 
 
 def _differs(column, text):
@@ -264,7 +261,7 @@ _LEVELS = f"""{_AFTER}, {_OVERALL}, {_CHANGES}, {_DECOYS}, {_DECOY_HIT}, {_BONUS
 
 def _components(spark, sf_dir):
     s = orders_scan(spark, sf_dir, store=True)
-    cleaned = inputs.orders_cleaned(spark, sf_dir)
+    cleaned = store_version(s, inputs.orders_cleaned(spark, sf_dir))
     parts = score.components(
         s.data,
         cleaned,

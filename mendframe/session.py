@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -68,3 +70,32 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+STEPS = "mendframe_steps"
+
+
+def materialize_by(df: DataFrame, key: str, name: str = "table", buckets: int | None = None, placed: bool = False) -> DataFrame:
+    """Write `df` once to the shared folder, in buckets of `key`, sorted by it, and read it back.
+
+    Joins and groupings by the key, between tables of one number of buckets, read bucket against
+    bucket: nothing moves.  The number is that of shuffle partitions.  `placed` says that rows with equal keys are
+    already in one task, as behind a join by the key of such tables; otherwise `df` is dealt out by the key once.
+    The table belongs to the database `mendframe_steps`; `drop_steps` removes it with its files.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {STEPS} LOCATION '{new_path(spark, 'steps')}'")
+    table = f"{STEPS}.{re.sub('[^a-z0-9]', '_', name.lower())}_{uuid.uuid4().hex}"
+    dealt = df if placed else df.repartition(n, F.col(quoted_name(key)))
+    dealt.write.format("parquet").bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Remove every table that `materialize_by` has stored in this session; frames that read them end with it."""
+    spark.sql(f"DROP DATABASE IF EXISTS {STEPS} CASCADE")
