@@ -32,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,7 @@ NOISE = 32
 BATCH = 2048
 RATE = 0.1
 ROUNDS = 2
-FAN = 32
+FAN = 16
 ADDED = 0.1
 HEAD = 1 << 17
 HEAD_BYTES = 64
@@ -81,15 +82,14 @@ class Parameters:
     context: np.ndarray  # (CLASSES + 1, WIDTH)
     near: np.ndarray  # weights of the token before
     far: np.ndarray  # and of the one before that
-    target: np.ndarray  # (CLASSES, WIDTH)
-    bias: np.ndarray
+    target: np.ndarray  # (CLASSES, WIDTH + 1), the bias last
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.near, self.far, self.target, self.bias)])
+        return np.concatenate([x.ravel() for x in (self.context, self.near, self.far, self.target)])
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Parameters:
-        shapes = ((CLASSES + 1, WIDTH), (WIDTH,), (WIDTH,), (CLASSES, WIDTH), (CLASSES,))
+        shapes = ((CLASSES + 1, WIDTH), (WIDTH,), (WIDTH,), (CLASSES, WIDTH + 1))
         ends = np.cumsum([np.prod(s) for s in shapes])
         return cls(*(part.reshape(s).astype(np.float32) for part, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)))
 
@@ -97,12 +97,14 @@ class Parameters:
     def new(cls, shares: np.ndarray) -> Parameters:
         rng = np.random.default_rng(11)
         draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        return cls(draw(CLASSES + 1, WIDTH), np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32), draw(CLASSES, WIDTH), np.log(shares).astype(np.float32))
+        target = draw(CLASSES, WIDTH + 1)
+        target[:, -1] = np.log(shares)
+        return cls(draw(CLASSES + 1, WIDTH), np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32), target)
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the sum of the values of each."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # classes are few, and short numbers sort fast
     rows = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     return rows[starts], np.add.reduceat(values[order], starts, axis=0)
@@ -116,7 +118,7 @@ class Trainer:
         self.cumulated = np.cumsum(shares)
         self.log_noise = np.log(NOISE * shares).astype(np.float32)
         self.seen = 0
-        self.squares = {k: np.full(getattr(model, k).shape, 1e-2, np.float32) for k in ("context", "near", "far", "target", "bias")}
+        self.squares = {k: np.full(getattr(model, k).shape, 1e-2, np.float32) for k in ("context", "near", "far", "target")}
 
     def _climb(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
         squares = self.squares[name][rows] + gradient * gradient
@@ -127,20 +129,19 @@ class Trainer:
         m = self.m
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), CLASSES - 1)
         ra, rb, qw, qn = m.context[a], m.context[b], m.target[w], m.target[noise]
-        h = ra * m.near + rb * m.far
-        true = np.einsum("ij,ij->i", h, qw) + m.bias[w] - self.log_noise[w]
-        false = h @ qn.T + (m.bias[noise] - self.log_noise[noise])
+        h = np.ones((len(w), WIDTH + 1), np.float32)  # the last column meets the bias
+        h[:, :-1] = ra * m.near + rb * m.far
+        true = np.einsum("ij,ij->i", h, qw) - self.log_noise[w]
+        false = h @ qn.T - self.log_noise[noise]
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # the share by which data fall short of certain
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        dh = up[:, None] * qw + down @ qn
+        dh = (up[:, None] * qw + down @ qn)[:, :-1]
         rows, sums = _sums(np.concatenate([w, noise]), np.concatenate([up[:, None] * h, down.T @ h]))
         self._climb("target", sums, rows)
-        rows, sums = _sums(np.concatenate([w, noise]), np.concatenate([up, down.sum(axis=0)]))
-        self._climb("bias", sums, rows)
         rows, sums = _sums(np.concatenate([a, b]), np.concatenate([dh * m.near, dh * m.far]))
         self._climb("context", sums, rows)
-        self._climb("near", (dh * ra).sum(axis=0))
-        self._climb("far", (dh * rb).sum(axis=0))
+        self._climb("near", np.einsum("ij,ij->j", dh, ra))
+        self._climb("far", np.einsum("ij,ij->j", dh, rb))
         self.seen += len(w)
 
 
@@ -148,15 +149,19 @@ class Tables:
     """Normalised log-probabilities of classes."""
 
     def __init__(self, m: Parameters):
-        self.near = (m.context * m.near) @ m.target.T + m.bias
-        self.far = (m.context * m.far) @ m.target.T
+        self.near = (m.context * m.near) @ m.target[:, :-1].T + m.target[:, -1]
+        self.far = (m.context * m.far) @ m.target[:, :-1].T
+        self.normal = np.empty((CLASSES + 1, CLASSES + 1), np.float32)
         top_near, top_far = self.near.max(axis=1), self.far.max(axis=1)
-        sums = np.exp(self.near - top_near[:, None]) @ np.exp(self.far - top_far[:, None]).T
-        # a sum that vanished in single precision stands for a pair of contexts that exclude each other's classes
-        self.normal = np.log(np.maximum(sums, 1e-30)) + top_near[:, None] + top_far
-        for a, b in zip(*np.nonzero(sums < 1e-30), strict=True):
-            s = self.near[a].astype(float) + self.far[b]
-            self.normal[a, b] = s.max() + np.log(np.exp(s - s.max()).sum())
+        far = np.exp(self.far - top_far[:, None]).T
+        for at in range(0, CLASSES + 1, 256):
+            rows = slice(at, at + 256)
+            sums = np.exp(self.near[rows] - top_near[rows, None]) @ far
+            self.normal[rows] = np.log(np.maximum(sums, 1e-30)) + top_near[rows, None] + top_far
+            # a sum that vanished in single precision stands for a pair of contexts that exclude each other's classes
+            for i, b in zip(*np.nonzero(sums < 1e-30), strict=True):
+                s = self.near[at + i].astype(float) + self.far[b]
+                self.normal[at + i, b] = s.max() + np.log(np.exp(s - s.max()).sum())
 
     def log_prob(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.near[a, w].astype(float) + self.far[b, w] - self.normal[a, b]
@@ -212,7 +217,7 @@ def _read(texts: list[str | None], codes: Codes, classes: np.ndarray) -> tuple[l
     code[ends] = len(classes)
     inner = np.ones(len(code), bool)
     inner[ends] = False
-    code[inner] = np.fromiter((codes[w] for x in words for w in x), dtype=np.int64, count=int(inner.sum()))
+    code[inner] = list(map(codes.__getitem__, chain.from_iterable(words)))
     kinds = ~code
     head = (code >= 0) & inner
     kinds[head] = classes[code[head]]
@@ -291,19 +296,19 @@ def train(rows: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> Parameters:
                 for at in range(0, len(w), BATCH):
                     trainer.step(w[at : at + BATCH], a[at : at + BATCH], b[at : at + BATCH])
             if trainer.seen:
-                yield pa.RecordBatch.from_pydict({"part": [part], "seen": [trainer.seen], "flat": [trainer.m.flat().astype("<f8").tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": [part], "seen": [trainer.seen], "flat": [trainer.m.flat().astype("<f4").tobytes()]})
 
         def average(frame):
             total = frame["seen"].sum()
-            mean = sum(np.frombuffer(f, "<f8") * (n / total) for f, n in zip(frame["flat"], frame["seen"], strict=True))
-            return frame.iloc[:1].assign(part=frame["part"].iloc[0] // FAN, seen=total, flat=[mean.tobytes()])
+            mean = sum(np.frombuffer(f, "<f4") * (n / total) for f, n in zip(frame["flat"], frame["seen"], strict=True))
+            return frame.iloc[:1].assign(part=frame["part"].iloc[0] // FAN, seen=total, flat=[mean.astype("<f4").tobytes()])
 
         schema = "part long, seen long, flat binary"
         models = materialize(rows.where(F.col("turn") == turn).select("body").mapInArrow(learn, schema), "lm-models")
         while (models.agg(F.max("part")).head()[0] or 0) > 0:
             models = materialize(models.groupBy(F.floor(F.col("part") / FAN)).applyInPandas(average, schema), "lm-models")
         for row in models.collect():  # one at most
-            model = Parameters.of(np.frombuffer(row["flat"], "<f8"))
+            model = Parameters.of(np.frombuffer(row["flat"], "<f4"))
     return model
 
 
