@@ -488,21 +488,24 @@ def issues_remaining(issues: DataFrame, repaired: DataFrame, profile: TableProfi
     Whitespace and category findings never count as open.
     """
     state = with_cell(issues, repaired, profile)
-    number, null_like = F.col("cell_num"), F.col("cell_null")
+    still = still_open(F.col("present"), F.col("cell_null"), F.col("cell_num"), profile)
+    return state.select(*issues.columns, F.coalesce(still, F.lit(False)).alias("remaining"))
+
+
+def still_open(present: Column, null_like: Column, number: Column, profile: TableProfile) -> Column:
+    """Whether an issue is open, by the present state of its row and cell."""
     std, mean = state_stat(profile, "std"), state_stat(profile, "mean")
     far_from_correct = F.abs(number - F.col("correct_num")) / std > 2.0
     far_from_mean = F.abs(number - mean) / std > 3.0
-    usable = std > 0
     kind = F.col("issue_type")
-    still = (
-        F.when(kind.isin(*ROW_CHECKS), F.col("present"))
-        .when(kind == "null", F.col("present") & null_like)
-        .when(kind == "type_error", F.col("present") & ~null_like & number.isNull())
+    return (
+        F.when(kind.isin(*ROW_CHECKS), present)
+        .when(kind == "null", present & null_like)
+        .when(kind == "type_error", present & ~null_like & number.isNull())
         .when(kind == "constraint", number < 0)
-        .when(kind == "outlier", usable & F.when(F.col("correct_num").isNotNull(), far_from_correct).otherwise(far_from_mean))
+        .when(kind == "outlier", (std > 0) & F.when(F.col("correct_num").isNotNull(), far_from_correct).otherwise(far_from_mean))
         .otherwise(F.lit(False))
     )
-    return state.select(*issues.columns, F.coalesce(still, F.lit(False)).alias("remaining"))
 
 
 def state_stat(profile: TableProfile, stat: str, column: str = "column") -> Column:

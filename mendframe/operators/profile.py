@@ -76,6 +76,7 @@ class ColumnProfile:
     median: float | None = None
     mode: str | None = None
     sample_values: list[str] | None = None
+    whole: int = 0
 
     @property
     def present(self) -> int:
@@ -140,7 +141,7 @@ class TableProfile:
         return spark.createDataFrame(rows, PROFILE_SCHEMA)
 
 
-def _logical_type(spark_type: T.DataType, present: int, castable: int, whole: int) -> str:
+def logical_type(spark_type: T.DataType, present: int, castable: int, whole: int) -> str:
     if present == 0:
         return "unknown"
     if isinstance(spark_type, T.BooleanType):
@@ -229,11 +230,12 @@ def profile_table(
         columns[c] = ColumnProfile(
             table=table,
             column=c,
-            dtype=_logical_type(types[c], present, castable, r.get(f"w{i}", 0)),
+            dtype=logical_type(types[c], present, castable, r.get(f"w{i}", 0)),
             row_count=rows,
             null_count=rows - present,
             castable=castable,
             non_negative=r.get(f"g{i}", 0),
+            whole=r.get(f"w{i}", 0),
             hash_bits=r.get(f"u{i}"),
             mean=r.get(f"m{i}"),
             std=r.get(f"s{i}"),

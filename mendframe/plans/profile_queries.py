@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mendframe.operators import detect, profile as prof, repair, report
+from mendframe.operators import delta, detect, profile as prof, repair, report
 from mendframe.plans import check_sql as sql, inputs
 from mendframe.plans.registry import register
 from mendframe.plans.flow import scan
+from mendframe.session import materialize_by
 
 ORDERS, PARTS = "orders_dirty", "part_dirty"
 
@@ -145,6 +146,32 @@ def profile_repaired(spark, sf_dir):
     )
 
 
+def orders_diff(spark, sf_dir, data):
+    """The diff of the dirty orders and the repaired ones, stored in buckets of the id."""
+    changed = delta.cell_changes(data, inputs.orders_cleaned(spark, sf_dir))
+    return materialize_by(changed, "row_id", "orders_diff")
+
+
+@register(
+    "profile_by_delta",
+    f"""WITH {sql.ORDERS}, {sql.CLEANED}, s AS ({sql.stats("k", ORDERS, sql.ORDER_COLUMNS)})
+ SELECT "column", dtype, row_count, null_count, unique_count, case when dtype in ('int','float') then round(mean,4) end AS mean,
+ case when dtype in ('int','float') then round(std,4) end AS std, case when dtype in ('int','float') then lo end AS min,
+ case when dtype in ('int','float') then hi end AS max FROM s WHERE "column" <> 'id'""",
+)
+def profile_by_delta(spark, sf_dir):
+    """The profile of the repaired orders, from that of the dirty ones and the stored diff."""
+    data = inputs.orders_dirty(spark, sf_dir)
+    columns = [c for c in data.columns if c != "id"]
+    before = prof.profile_table(data, ORDERS, unique=None)
+    counts = delta.value_counts(data, columns)
+    diff = orders_diff(spark, sf_dir, data)
+    after = delta.updated_profile(before, diff, inputs.orders_cleaned(spark, sf_dir), delta.updated_value_counts(counts, diff, columns))
+    return after.to_df(spark).where("column <> 'id'").select(
+        "column", "dtype", "row_count", "null_count", "unique_count", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max"
+    )
+
+
 def _z_sql(source, table, column):
     return f"""SELECT '{table}' AS "table", id AS row_id, '{column}' AS "column",
  round((cast({column} as double)-(SELECT avg({column}) FROM {source}))/(SELECT stddev_pop({column}) FROM {source}),4) AS z
@@ -325,6 +352,14 @@ OPEN = f"""coalesce(case when issue_type in ('duplicate','fk_violation') then pr
  when issue_type='outlier' then std>0 and abs(x-correct_num)/std>2.0 else false end, false)"""
 
 
+@register("issues_remaining_by_delta", f"{_REMAINING} SELECT issue_id, {OPEN} AS remaining FROM c")
+def issues_remaining_by_delta(spark, sf_dir):
+    """The open issues after a repair, from the issues and the stored diff alone."""
+    s = orders_scan(spark, sf_dir, store=True)
+    found = materialize_by(delta.open_issues(s.issues, s.data, s.profile), "row_id", "open_issues")
+    return delta.updated_issues(found, orders_diff(spark, sf_dir, s.data), s.profile).select("issue_id", "remaining")
+
+
 @register("issues_remaining", f"{_REMAINING} SELECT issue_id, {OPEN} AS remaining FROM c")
 def issues_remaining(spark, sf_dir):
     s = orders_scan(spark, sf_dir, store=True)
