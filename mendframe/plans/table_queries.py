@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from mendframe.functions import cells
@@ -175,12 +177,12 @@ def join_key_choice(spark, sf_dir):
 
 @register(
     "group_summary",
-    """SELECT o_orderpriority, count(*) AS "count", round(avg(o_totalprice),2) AS avg_o_totalprice,
- round(min(o_totalprice),2) AS min_o_totalprice, round(max(o_totalprice),2) AS max_o_totalprice
- FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
+    """SELECT l_quantity, count(*) AS "count", round(avg(l_extendedprice),2) AS avg_l_extendedprice,
+ round(min(l_extendedprice),2) AS min_l_extendedprice, round(max(l_extendedprice),2) AS max_l_extendedprice
+ FROM lineitem GROUP BY 1""",
 )
 def group_summary(spark, sf_dir):
-    return query.group_summary(inputs.table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+    return query.group_summary(inputs.table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
 
 
 @register("top_n", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -197,10 +199,10 @@ def bottom_n(spark, sf_dir):
 
 @register(
     "category_counts",
-    'SELECT event_type, count(*) AS "count" FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20',
+    'SELECT p_name, count(*) AS "count" FROM part GROUP BY 1',
 )
 def category_counts(spark, sf_dir):
-    return query.category_counts(inputs.table(spark, sf_dir, "events"), "event_type")
+    return query.category_counts(inputs.table(spark, sf_dir, "part"), "p_name")
 
 
 # -- dimensions --------------------------------------------------------------
@@ -382,6 +384,55 @@ for _fmt in ("csv", "json", "jsonl", "parquet"):
     )(_round_trip(_fmt))
 
 
+@register(
+    "csv_breaks_in_fields",
+    """SELECT doc_id AS id, md5(coalesce(text,'')) AS digest, length(coalesce(text,'')) AS n_chars, source FROM documents""",
+)
+def csv_breaks_in_fields(spark, sf_dir):
+    """Whole documents as CSV, in which texts hold quotes, delimiters and line breaks; read again in byte ranges."""
+    texts = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    path = new_path(spark, "documents.csv")
+    texts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    loaded, _ = load_table(spark, path, fmt="csv", name="documents_csv")
+    text = F.coalesce("text", F.lit(""))
+    return loaded.select("id", F.md5(text).alias("digest"), F.char_length(text).cast("long").alias("n_chars"), "source")
+
+
+@register(
+    "csv_text",
+    "SELECT n_nationkey AS id, n_name, n_regionkey FROM nation",
+)
+def csv_text(spark, sf_dir):
+    """CSV given as a string."""
+    rows = inputs.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+    text = "\n".join(["id,n_name,n_regionkey", *[f'{r[0]},"{r[1]}",{r[2]}' for r in rows]])
+    loaded, _ = load_table(spark, text)
+    return loaded.select("id", "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+@register(
+    "load_refused",
+    """SELECT 'large' AS "table", count(*) AS n_rows FROM supplier
+ UNION ALL SELECT 'just_enough', count(*) FROM region HAVING count(*) >= 5""",
+)
+def load_refused(spark, sf_dir):
+    """Of four sources two are too small to be judged and are left out."""
+    supplier, region = inputs.table(spark, sf_dir, "supplier"), inputs.table(spark, sf_dir, "region")
+    frames = {"large": supplier, "just_enough": region, "four": region.where("r_regionkey < 4"), "none": supplier.where("s_suppkey < 0")}
+    paths = {}
+    for name, df in frames.items():
+        paths[name] = new_path(spark, name)
+        df.write.parquet(paths[name])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        loaded = load_tables(spark, paths, fmt="parquet")
+    out = None
+    for name, df in loaded.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register(
     "json_documents",
     """SELECT c_custkey AS id, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""",
