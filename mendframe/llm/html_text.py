@@ -5,24 +5,31 @@ those that HTML leaves to be implied (p before a block, li before li, cells,
 rows, options, terms) and yields open, text and close in tree order.  `render`
 walks those events: invisible subtrees are passed over, white space collapses
 outside pre, blocks start lines and paragraphs keep a blank line, lists get
-bullets or numbers and indent, and the cells of a table are padded to the width
-of their column.  Labels of buttons, fields of text, all options of a select (a line each), formulas
-and the text that SVG draws are visible.  Nothing recurses, so depth costs no stack.
+bullets or numbers and indent, and the cells of a table stand in a grid, in which spans over rows and
+columns keep their places, padded to the width of their column as a terminal shows it.  Labels of buttons,
+fields of text, all options of a select (a line each), formulas
+and the text that SVG draws are visible; what `visibility` hides comes back where a child makes it
+visible again.  Nothing recurses, so depth costs no stack, and output grows with the page: a span
+is as wide as the columns that some single cell defines.
 
 One page is one row; pages are independent, so this is a narrow Arrow map.
 
 Cases: NULL and empty pages give empty text; unclosed tags, comments and quotes
-are read to the end as a browser would; an end tag without start is ignored; an
-empty table gives no rows.
+are read to the end as a browser would; an end tag without start is ignored, but </p> makes an empty
+paragraph; rows that repeat give equal rows; pages of any length are read whole; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +41,7 @@ from mendframe.llm.common import batches_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 HIDDEN = frozenset(
-    "head script style template noscript title iframe noembed noframes object audio video canvas datalist area base col embed input link meta param source track".split()
+    "head script style template noscript title iframe noembed noframes object audio video canvas datalist rp area base col embed input link meta param source track".split()
 )
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre hr figure fieldset form".split())
 BLOCK = PARAGRAPH | frozenset(
@@ -79,7 +86,9 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+LABELLED = frozenset("submit reset button".split())  # inputs that show their value as a label
 SPACE = re.compile(r"[ \t\n\r\f]+")
 UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/\Z")  # a slash that belongs to a value
 
@@ -142,12 +151,17 @@ def events(page: str) -> Iterator[Event]:
                 yield "close", "br", {}
                 continue
             walls = () if tag == "table" else {"table"} if tag in CELL or tag in ROWS or tag in ("tr", "caption") else P_WALL if tag == "p" else WALL - {tag}
+            met = False
             for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k] == tag:
                     yield from close_to(k)
+                    met = True
                     break
                 if stack[k] in walls:
                     break
+            if tag == "p" and not met:
+                yield "open", "p", {}
+                yield "close", "p", {}
         elif m[2]:
             tag, rest = m[2].lower(), m[3]
             if tag not in IN_HEAD:
@@ -193,13 +207,12 @@ class Flow:
     line: list[str] = field(default_factory=list)
     gap: bool = False  # a blank line is due before the next text
     space: bool = False  # a space is due before the next word
-    prefix: list[str] = field(default_factory=list)  # of each open list item or quote
-    marker: str = ""  # of an item whose first line is not yet written
+    prefix: list[list[str]] = field(default_factory=list)  # of each open list item or quote: on its next line, and after it
 
     def _lead(self) -> str:
-        lead = "".join(self.prefix)
-        if self.marker:
-            lead, self.marker = lead[: len(lead) - len(self.marker)] + self.marker, ""
+        lead = "".join(now for now, _ in self.prefix)
+        for one in self.prefix:
+            one[0] = one[1]
         return lead
 
     def words(self, text: str) -> None:
@@ -255,50 +268,104 @@ class Flow:
         return [x.rstrip() for x in self.lines]
 
 
+def display_width(text: str) -> int:
+    """Columns that a text takes: wide characters two, marks on others none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(x) else 2 if unicodedata.east_asian_width(x) in "WF" else 1 for x in text)
+
+
 @dataclass
 class Table:
-    rows: list[list[tuple[list[str], int]]] = field(default_factory=list)
+    rows: list[list[tuple[list[str], int, int]]] = field(default_factory=list)  # lines, columns and rows of each cell
     caption: list[str] = field(default_factory=list)
 
+    def grid(self) -> list[list[tuple[int, list[str], int]]]:
+        """(first column, lines, columns) of the cells of each row; cells from above that span rows keep their columns, empty."""
+        out, taken = [], []  # taken: (first column, columns, rows still to come)
+        for row in self.rows:
+            placed = [(at, [], span) for at, span, _ in taken]
+            still = [(at, span, left - 1) for at, span, left in taken if left > 1]
+            at = k = 0
+            for lines, span, down in row:
+                while k < len(taken) and taken[k][0] < at + span:
+                    at, k = max(at, taken[k][0] + taken[k][1]), k + 1
+                placed.append((at, lines, span))
+                if down > 1:
+                    still.append((at, span, down - 1))
+                at += span
+            taken = sorted(still)
+            out.append(sorted(placed, key=lambda x: x[0]))
+        return out
+
     def layout(self) -> list[str]:
         """Cells side by side, each column as wide as its widest single cell; long cells take several lines."""
-        rows = [r for r in self.rows if any(lines for lines, _ in r)]
+        rows = [r for r in self.grid() if any(lines for _, lines, _ in r)]
         widths: dict[int, int] = {}
         for row in rows:
-            at = 0
-            for lines, span in row:
+            for at, lines, span in row:
                 if span == 1:
-                    widths[at] = max(widths.get(at, 0), *map(len, lines), 0)
-                at += span
+                    widths[at] = max(widths.get(at, 0), *map(display_width, lines), 0)
+        # columns that no single cell defines have no width and no border
+        columns = sorted(widths)
+        upto = list(accumulate((widths[x] + 3 for x in columns), initial=0))
         out = list(self.caption)
         for row in rows:
-            height = max(len(lines) for lines, _ in row)
-            for k in range(height):
-                cells, at = [], 0
-                for lines, span in row:
-                    width = sum(widths.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                    cells.append((lines[k] if k < len(lines) else "").ljust(width))
-                    at += span
+            ends = [(bisect_left(columns, at), bisect_left(columns, at + span)) for at, _, span in row]
+            for k in range(max(len(lines) for _, lines, _ in row)):
+                cells = []
+                for (_, lines, _), (first, last) in zip(row, ends, strict=True):
+                    text = lines[k] if k < len(lines) else ""
+                    cells.append(text + " " * (upto[last] - upto[first] - 3 - display_width(text)))
                 out.append(" | ".join(cells).rstrip())
         return out
 
 
-def _span(value: str | None) -> int:
-    return min(max(int(value), 1), 1000) if value and value.isdecimal() else 1
+def _span(value: str | None, most: int = 1000, zero: int = 1) -> int:
+    if not value or not value.isdecimal() or len(value) > 9:
+        return 1
+    return min(int(value), most) or zero
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"-?\d{1,9}", value) else None
+
+
+def items_of(found: list[Event]) -> dict[int, int]:
+    """How many items each list has that counts down, by the place of its start among the events."""
+    out: dict[int, int] = {}
+    above: list[int] = []  # the lists, or -1 for other elements, that are open
+    for i, (kind, tag, attrs) in enumerate(found):
+        if kind == "open":
+            if tag == "li" and (owner := next((x for x in reversed(above) if x >= 0), -1)) in out:
+                out[owner] += 1
+            if tag == "ol" and "reversed" in attrs:
+                out[i] = 0
+            above.append(i if tag in ("ol", "ul", "menu", "dir") else -1)
+        elif kind == "close":
+            above.pop()
+    return out
 
 
 def render(page: str | None) -> str:
     """All visible text of a page."""
     flows, tables = [Flow()], []
     lists: list[int | None] = []
-    spans: list[int] = []
+    steps: list[int] = []  # by which each list counts
+    spans: list[tuple[int, int]] = []
+    seen = [True]  # of each element that is displayed: is its text visible
     hidden = pre = 0
     closed_details: list[int] = []
     drawing: list[bool] = []  # of each open svg, and of what draws text in it: is text drawn
     foreign = depth = 0
-    for kind, value, attrs in events(page or ""):
+    found: Iterator[Event] | list[Event] = events(page or "")
+    backwards: dict[int, int] = {}
+    if page and "reversed" in page.lower():
+        found = list(found)
+        backwards = items_of(found)
+    for place, (kind, value, attrs) in enumerate(found):
         if kind == "text":
-            if hidden or (drawing and not drawing[-1]) or (closed_details and closed_details[-1] >= 0 and depth >= closed_details[-1]):
+            if hidden or not seen[-1] or (drawing and not drawing[-1]) or (closed_details and closed_details[-1] >= 0 and depth >= closed_details[-1]):
                 continue
             if pre:
                 flows[-1].verbatim(value)
@@ -310,9 +377,16 @@ def render(page: str | None) -> str:
         flow, tag = flows[-1], value
         if kind == "open":
             depth += 1
-            if hidden or tag in HIDDEN or (foreign and tag in UNDRAWN) or "hidden" in attrs or ("style" in attrs and INVISIBLE.search(attrs["style"])):
+            style = attrs.get("style", "")
+            gone = tag in HIDDEN or (foreign and tag in UNDRAWN) or "hidden" in attrs or (tag == "dialog" and "open" not in attrs)
+            visibility = VISIBILITY.findall(style)
+            if tag == "input" and not hidden and attrs.get("type", "").lower() in LABELLED and not NO_DISPLAY.search(style) and "hidden" not in attrs:
+                if visibility[-1].lower() == "visible" if visibility else seen[-1]:
+                    flow.words(" " + attrs.get("value", "") + " ")
+            if hidden or gone or NO_DISPLAY.search(style):
                 hidden += 1
                 continue
+            seen.append(visibility[-1].lower() == "visible" if visibility else seen[-1])
             if tag in ("svg", "math"):
                 foreign += 1
             if tag == "svg" or (drawing and tag in ("text", "foreignobject")):
@@ -323,7 +397,7 @@ def render(page: str | None) -> str:
             elif tag in ("option", "optgroup", "textarea"):
                 flow.block(False)
                 pre += tag == "textarea"
-                if tag != "textarea" and attrs.get("label"):
+                if tag != "textarea" and attrs.get("label") and seen[-1]:
                     flow.words(attrs["label"])
                     if tag == "option":  # stands for its text
                         hidden += 1
@@ -331,7 +405,7 @@ def render(page: str | None) -> str:
                 flow.br()
             elif tag == "hr":
                 flow.block(True)
-            elif tag == "img" and attrs.get("alt"):
+            elif tag == "img" and attrs.get("alt") and seen[-1]:
                 flow.words(" " + attrs["alt"] + " ")
             elif tag == "table":
                 flow.block(True)
@@ -341,26 +415,29 @@ def render(page: str | None) -> str:
             elif (tag in CELL or tag == "caption") and tables:
                 if tag in CELL and not tables[-1].rows:
                     tables[-1].rows.append([])
-                spans.append(_span(attrs.get("colspan")))
+                spans.append((_span(attrs.get("colspan")), _span(attrs.get("rowspan"), 65534, 65534)))
                 flows.append(Flow())
             elif tag in BLOCK:
                 flow.block(tag in PARAGRAPH and not (tag in ("ul", "ol") and lists))
                 if tag in ("ul", "menu", "dir"):
                     lists.append(None)
+                    steps.append(1)
                 elif tag == "ol":
-                    start = attrs.get("start", "1")
-                    lists.append(int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+                    start = _number(attrs.get("start"))
+                    lists.append(backwards.get(place, 1) if start is None else start)
+                    steps.append(-1 if "reversed" in attrs else 1)
                 elif tag == "li":
                     mark = "- "
                     if lists and lists[-1] is not None:
+                        given = _number(attrs.get("value"))
+                        lists[-1] = lists[-1] if given is None else given
                         mark = f"{lists[-1]}. "
-                        lists[-1] += 1
-                    flow.marker = mark
-                    flow.prefix.append(" " * len(mark))
+                        lists[-1] += steps[-1]
+                    flow.prefix.append([mark, " " * len(mark)])
                 elif tag == "dd":
-                    flow.prefix.append("  ")
+                    flow.prefix.append(["  ", "  "])
                 elif tag == "blockquote":
-                    flow.prefix.append("> ")
+                    flow.prefix.append(["> ", "> "])
                 elif tag == "pre":
                     pre += 1
                 elif tag == "details":
@@ -372,6 +449,7 @@ def render(page: str | None) -> str:
         if hidden:
             hidden -= 1
             continue
+        seen.pop()
         if tag in ("svg", "math"):
             foreign -= 1
         if tag == "svg" or (drawing and tag in ("text", "foreignobject")):
@@ -395,14 +473,15 @@ def render(page: str | None) -> str:
             if tag == "caption":
                 tables[-1].caption += lines
             else:
-                tables[-1].rows[-1].append((lines, span))
+                tables[-1].rows[-1].append((lines, *span))
         elif tag in BLOCK and not (tag == "tr" and tables):
             flow.block(tag in PARAGRAPH and not (tag in ("ul", "ol") and len(lists) > 1))
             if tag in ("ul", "ol", "menu", "dir"):
-                lists and lists.pop()
+                if lists:
+                    lists.pop()
+                    steps.pop()
             elif tag in ("li", "dd", "blockquote"):
                 flow.prefix and flow.prefix.pop()
-                flow.marker = "" if tag == "li" else flow.marker
             elif tag == "pre":
                 pre -= 1
             elif tag in ("details", "summary") and closed_details and (tag == "details" or (closed_details[-1] == -1 and len(closed_details) > 1)):

@@ -353,7 +353,24 @@ def test_best_pattern_against_trying_all():
         ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
         ("<blockquote>q</blockquote>r", "> q\n\nr"),
         ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
-        ("a</p></nothing></li>b &amp; &lt;i&gt;", "ab & <i>"),
+        ("a</nothing></li>b &amp; &lt;i&gt;", "ab & <i>"),
+        ("a</p>b", "a\n\nb"),
+        ("<p>a<div>b</p>c", "a\n\nb\n\nc"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A | b\n  | c"),
+        ("<table><tr><td>a<td rowspan=3>B<td>c<tr><td>d<td>e<tr><td>f<td>g<tr><td>h<td>i<td>j</table>", "a | B | c\nd |   | e\nf |   | g\nh | i | j"),
+        ("<table><tr><td rowspan=2 colspan=2>AB<td>c<tr><td>d<tr><td>x<td>y<td>z</table>", "AB    | c\n      | d\nx | y | z"),
+        ("<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</table>", "A | b\n  | c\n  | d"),
+        ("<table><tr><td colspan=1000>a<td colspan=1000>b</table>", "a | b"),
+        ("<table><tr><td>東京<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>", "東京 | x\nabcd | y\ne\u0301    | z"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<div style='display:none'>no<b style='visibility:visible'>no</b></div>x", "x"),
+        ("<p style='visibility:hidden'>no<img alt=no><input type=button value=no></p>x", "x"),
+        ("<input type=submit value='Send it'><input type=text value=no><input type=RESET value=Clear>", "Send it Clear"),
+        ("<ol><li>a<li value=7>b<li>c<li value=x>d</ol>", "1. a\n7. b\n8. c\n9. d"),
+        ("<ol reversed><li>a<li>b<ul><li>in</ul><li>c</ol>", "3. a\n2. b\n   - in\n1. c"),
+        ("<ol reversed start=10><li>a<li>b</ol>", "10. a\n9. b"),
         ("x<!-- never closed <p>y", "x"),
         ("x < y and <a href='unclosed>z", "x < y and"),
         ("<img alt='A cat'><input value=no>", "A cat"),
@@ -377,6 +394,174 @@ def test_layout(page, text):
     assert html_text.render(page) == text
 
 
+def test_wide_spans_stay_bounded():
+    page = "<table><tr>" + "<td colspan=1000>x" * 20_000 + "<tr><td rowspan=60000>y" * 500 + "</table>"
+    assert len(html_text.render(page)) < 4 * len(page)
+
+
+# a plain renderer: the tree is given, its text laid out by recursion
+
+
+def random_tree(rng, depth=0):
+    """(tag, attributes, children) or a word."""
+    if depth > 4 or rng.random() < 0.3:
+        return rng.choice(["one", "two three", "vier", "東京", "x"])
+    tag = rng.choice(["p", "div", "ul", "ol", "table", "b", "blockquote", "hidden", "unseen"])
+    if tag in ("ul", "ol"):
+        items = [("li", {"value": rng.randrange(9)} if rng.random() < 0.2 else {}, [random_tree(rng, depth + 2) for _ in range(rng.randrange(1, 3))]) for _ in range(rng.randrange(1, 4))]
+        attrs = {} if tag == "ul" else rng.choice([{}, {"start": 5}, {"reversed": ""}])
+        return tag, attrs, items
+    if tag == "table":
+        span = lambda: {k: rng.randrange(2, 4) for k in ("colspan", "rowspan") if rng.random() < 0.2}
+        return tag, {}, [("tr", {}, [("td", span(), [random_tree(rng, depth + 3)]) for _ in range(rng.randrange(1, 4))]) for _ in range(rng.randrange(1, 4))]
+    if tag in ("p", "b"):
+        return tag, {}, [rng.choice(["inline", "words here"]) for _ in range(rng.randrange(1, 3))]
+    return tag, {}, [random_tree(rng, depth + 1) for _ in range(rng.randrange(1, 4))]
+
+
+def as_html(rng, node):
+    if isinstance(node, str):
+        return f" {node} "
+    tag, attrs, children = node
+    inner = "".join(as_html(rng, x) for x in children)
+    if tag == "hidden":
+        return f"<div {rng.choice(['hidden', 'style=display:none'])}>{inner}</div>"
+    if tag == "unseen":
+        return f'<div style="visibility:hidden">{inner}<span style="visibility:visible"> seen </span></div>'
+    listed = "".join(f" {k}={v}" if v != "" else f" {k}" for k, v in attrs.items())
+    left_out = tag in ("li", "td", "tr") and rng.random() < 0.5
+    return f"<{tag}{listed}>{inner}" + ("" if left_out else f"</{tag}>")
+
+
+def plain_lines(nodes, seen=True):
+    """[(line, gap before)]: laid out lines, and whether a blank line is due before each; and whether one is due behind."""
+    lines, gap, open_line = [], False, False
+
+    def put(found, due, ends):
+        nonlocal gap, open_line
+        for i, (text, g) in enumerate(found):
+            lines.append((text, g or (gap if i == 0 else False)))
+            gap = False
+        gap, open_line = gap or due, not ends and bool(found)
+
+    def inline(text):
+        nonlocal open_line, gap
+        if open_line:
+            lines[-1] = (lines[-1][0] + " " + text, lines[-1][1])
+        else:
+            lines.append((text, gap))
+            gap, open_line = False, True
+
+    def block(inner, spaced, behind):
+        nonlocal gap, open_line
+        open_line, gap = False, gap or spaced
+        found, due = inner
+        put(found, due, True)
+        gap = gap or behind
+
+    def walk(node, lists):
+        nonlocal gap, open_line
+        if isinstance(node, str):
+            if shown[-1]:
+                inline(node)
+            return
+        tag, attrs, children = node
+        if tag == "hidden":
+            return
+        if tag == "b":
+            for x in children:
+                walk(x, lists)
+            return
+        if tag == "unseen":
+            open_line = False
+            shown.append(False)
+            for x in children:
+                walk(x, lists)
+            shown.pop()
+            inline("seen")
+            open_line = False
+            return
+        if tag in ("ul", "ol"):
+            open_line, gap = False, gap or not lists
+            number, step = attrs.get("start", 1), -1 if "reversed" in attrs else 1
+            if step < 0 and "start" not in attrs:
+                number = len(children)
+            for _, a, inner in children:
+                number = a.get("value", number)
+                mark = "- " if tag == "ul" else f"{number}. "
+                number += step
+                found, due = plain_lines_of(inner, shown[-1], [*lists, tag])
+                put([((mark if i == 0 else " " * len(mark)) + t, g) for i, (t, g) in enumerate(found)], due, True)
+            gap = gap or not lists
+            return
+        if tag == "table":
+            rows = [[(joined(plain_lines_of(cell[2], shown[-1], [])[0]), cell[1].get("colspan", 1), cell[1].get("rowspan", 1)) for cell in row[2]] for row in children]
+            block(([(t, False) for t in plain_table(rows)], False), True, True)
+            return
+        spaced = tag in ("p", "blockquote")
+        found, due = plain_lines_of(children, shown[-1], lists)
+        if tag == "blockquote":
+            found = [("> " + t, g) for t, g in found]
+        block((found, due), spaced, spaced)
+
+    shown = [seen]
+    for node, lists in nodes:
+        walk(node, lists)
+    return lines, gap
+
+
+def plain_lines_of(children, seen, lists):
+    return plain_lines([(x, lists) for x in children], seen)
+
+
+def joined(found):
+    out = []
+    for i, (text, gap) in enumerate(found):
+        out += [""] * (gap and i > 0) + [text.rstrip()]
+    return out
+
+
+def plain_table(rows):
+    taken, grid = {}, []
+    for r, row in enumerate(rows):
+        at, line = 0, []
+        for lines, span, down in row:
+            while any((r, at + k) in taken for k in range(span)):
+                at += 1
+            line.append((at, span, lines))
+            for d in range(1, down):
+                taken |= {(r + d, at + k): (at, span) for k in range(span)}
+            at += span
+        line += [(a, s, []) for a, s in {v for (rr, _), v in taken.items() if rr == r}]
+        grid.append(sorted(line, key=lambda x: x[0]))
+    grid = [g for g in grid if any(lines for _, _, lines in g)]
+    wide = lambda t: sum(2 if ord(c) > 0x2E80 else 1 for c in t)
+    widths = {}
+    for g in grid:
+        for a, s, lines in g:
+            if s == 1:
+                widths[a] = max([widths.get(a, 0), *map(wide, lines)])
+    out = []
+    for g in grid:
+        for k in range(max(len(lines) for _, _, lines in g)):
+            cells = []
+            for a, s, lines in g:
+                own = [widths[x] for x in range(a, a + s) if x in widths]
+                text = lines[k] if k < len(lines) else ""
+                cells.append(text + " " * (sum(own) + 3 * (len(own) - 1) - wide(text)))
+            out.append(" | ".join(cells).rstrip())
+    return out
+
+
+def test_random_pages_against_the_plain_renderer():
+    rng = random.Random(11)
+    for _ in range(1500):
+        trees = [random_tree(rng) for _ in range(rng.randrange(1, 4))]
+        page = "".join(as_html(rng, t) for t in trees)
+        want = "\n".join(joined(plain_lines_of(trees, True, [])[0])).strip("\n")
+        assert html_text.render(page) == want, page
+
+
 def test_deep_nesting_and_long_pages():
     assert html_text.render("<div>" * 50_000 + "x") == "x"
     assert html_text.render("<" * 20_000 + " x").endswith("< x")
