@@ -104,7 +104,6 @@ def learn(
     checks: Sequence[str] = HARD,
     profile: TableProfile | None = None,
     force_positive: Iterable[str] = (),
-    exact_up_to: int = quantiles.EXACT_UP_TO,
     approx: bool = False,
 ) -> Rules:
     """Profile `df` and derive the per-column rules of the wanted checks.
@@ -137,7 +136,7 @@ def learn(
         def start(fn, *args, **kw):
             return pool.submit(inheritable_thread_target(df.sparkSession)(fn), *args, **kw)
 
-        statistics = start(prof.order_statistics, df, profile, ranks, approx, exact_up_to=exact_up_to)
+        statistics = start(prof.order_statistics, df, profile, ranks, approx)
         variants = start(lambda: category_variants(df, profile).collect()) if "inconsistent_category" in checks else None
         natural = start(prof.natural_key, df, profile) if "duplicate" in checks else None
         at = statistics.result()

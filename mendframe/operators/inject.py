@@ -17,6 +17,7 @@ from mendframe.operators import detect, profile as prof, quantiles, repair
 from mendframe.operators.dimension import ORPHAN_OFFSET, Dimension
 from mendframe.operators.frequency import quoted, types_of
 from mendframe.operators.profile import TableProfile
+from mendframe.session import materialize
 
 # The planted text, the order of planted types, their confidence,
 # and the fewest issues a level should have.
@@ -146,7 +147,9 @@ def _pick(df, profile, counts, seed, issues, order=None) -> DataFrame:
                 fits = fits & (number > 0)
             entries.append((kind, c, number))
             places.append(F.when(fits, _place(seed, kind, c, order)).cast("double").alias(f"_at{len(places)}"))
-    placed = rows.select("*", *places)
+    # the search for the last places and the pick read the same few columns: hashed and joined with the issues once
+    kept = [quoted(c) for c in dict.fromkeys(c for _, c, _ in entries) if c != "row_id"]
+    placed = materialize(rows.select("row_id", *kept, *places), "places")
     last = _last_places(placed, [counts[(kind, c)] for kind, c, _ in entries])
     chosen = [
         F.when(

@@ -282,7 +282,7 @@ def approx_unique_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int
     return {c: row[f"u{i}"] for i, c in enumerate(columns)}
 
 
-def order_statistics(df: DataFrame, profile: TableProfile, ranks: dict[str, list[int]], approx: bool = False, **kw):
+def order_statistics(df: DataFrame, profile: TableProfile, ranks: dict[str, list[int]], approx: bool = False):
     """Values at 0-based ranks of each column's castable values, exact or within 1/10 000 of the rows."""
     ranks = {c: k for c, k in ranks.items() if profile[c].castable and k}
     if not ranks:
@@ -290,7 +290,7 @@ def order_statistics(df: DataFrame, profile: TableProfile, ranks: dict[str, list
     if approx:
         return quantiles.near_ranks(df, number_columns(df, ranks), ranks, {c: profile[c].castable for c in ranks})
     bounds = {c: (profile[c].min, profile[c].max, profile[c].castable) for c in ranks}
-    return quantiles.values_at_ranks(df, number_columns(df, ranks), ranks, bounds, **kw)
+    return quantiles.values_at_ranks(df, number_columns(df, ranks), ranks, bounds)
 
 
 def with_medians(df: DataFrame, profile: TableProfile, columns: Sequence[str], approx: bool = False) -> TableProfile:

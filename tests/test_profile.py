@@ -97,12 +97,38 @@ def test_order_statistics_against_sorting(spark, kind):
         values = [make(i) for i in range(n)]
         df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
         ranks = sorted({0, n - 1, *quantiles.quartile_ranks(n), *quantiles.median_ranks(n)})
-        # tiny limits force several narrowing rounds
-        got = quantiles.values_at_ranks(
-            df, {"x": F.col("x")}, {"x": ranks}, {"x": (min(values), max(values), n)}, exact_up_to=10, bins=8
-        )
         ordered = sorted(values)
-        assert got == {("x", k): ordered[k] for k in ranks}
+        want, ends = {("x", k): ordered[k] for k in ranks}, {"x": (min(values), max(values), n)}
+        # tiny limits force several narrowing rounds
+        assert quantiles.narrowed(df, {"x": F.col("x")}, {"x": ranks}, ends, exact_up_to=10, bins=8) == want
+        # coarse sketches make wide brackets, which may touch
+        for accuracy in (5, 40, None):
+            assert quantiles.values_at_ranks(df, {"x": F.col("x")}, {"x": ranks}, ends, accuracy=accuracy) == want
+
+
+def test_ranks_of_several_columns_take_two_scans(spark, monkeypatch):
+    """Heavy ties, wide spreads and whole numbers: no rank has to be narrowed down."""
+    df = spark.range(100_000).selectExpr(
+        "(id * 7919) % 100000 + 0.5D x", "case when id % 3 = 0 then 7D else pow(10, id % 20 - 8) end y", "id % 4 z", "cast(null as double) none"
+    ).repartition(6)
+    monkeypatch.setattr(quantiles, "_narrow", None)
+    ranks = {c: [0, 25_000, 49_999, 50_000, 75_000, 99_999] for c in "xyz"}
+    rows = {c: sorted(r[c] for r in df.select(c).collect()) for c in "xyz"}
+    ends = {c: (v[0], v[-1], len(v)) for c, v in rows.items()}
+    group = "two scans"
+    spark.sparkContext.setJobGroup(group, group)
+    got = quantiles.values_at_ranks(df, {c: F.col(c) for c in "xyz"}, ranks, ends)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(c, k): rows[c][k] for c in "xyz" for k in ranks[c]}
+    assert 0 < len(jobs) <= 8  # the stages of two queries
+
+
+def test_a_missed_bracket_is_narrowed_down(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("cast(id as double) x")
+    monkeypatch.setattr(quantiles, "_brackets", lambda *a: {"x": [(10.0, 20.0)]})
+    got = quantiles.values_at_ranks(df, {"x": F.col("x")}, {"x": [5, 15, 700]}, {"x": (0.0, 999.0, 1000)})
+    assert got == {("x", 5): 5.0, ("x", 15): 15.0, ("x", 700): 700.0}
 
 
 def test_median_of_several_columns(spark):
