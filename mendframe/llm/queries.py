@@ -101,16 +101,16 @@ WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
 OP4 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_dot_product(q.e, x.e)::BIGINT AS score
-  FROM v q JOIN v x ON q.vec_id <> x.vec_id
+  SELECT q.uid, q.vec_id AS query_id, x.vec_id AS vec_id, list_dot_product(q.e, x.e)::BIGINT AS score
+  FROM v q JOIN v x ON q.uid <> x.uid
   WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -189,6 +189,53 @@ def test_top_k_beyond_64_bit_keys(spark):
     assert sorted(map(tuple, topk.top_k(table, F.col("id") % 20 == 0, k=5).collect())) == plain_top(vectors, lambda i: i % 20 == 0, 5)
 
 
+def test_rows_of_one_id_find_each_other(spark):
+    rng = random.Random(6)
+    vectors = [(i, [float(rng.randrange(-9, 10)) for _ in range(3)]) for i in range(60)]
+    vectors += [(20, [9.0, 9.0, 9.0]), (20, [9.0, 9.0, 9.0]), (7, [1.0, 1.0, 1.0])]
+    clashing = [(*v, 5, "v", "p", 5, 5) for v in vectors]
+    table = spark.createDataFrame(clashing, "vec_id long, embedding array<double>, id long, vec string, pivot string, block long, row long").repartition(3)
+    found = sorted(map(tuple, topk.top_k(table, F.col("id") % 20 == 0, k=4, data_block=16, query_block=4, all_rows=True).collect()))
+    want = []
+    for at, (q, a) in enumerate(vectors):
+        if q % 20 == 0:
+            scores = sorted((-sum(int(x * y) for x, y in zip(a, b, strict=True)), i) for n, (i, b) in enumerate(vectors) if n != at)
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:4])]
+    assert found == sorted(want)
+
+
+def test_one_vector_many_times(spark):
+    vectors = [(i, [3.0, 4.0]) for i in range(10_000)] + [(20_001, [5.0, 5.0])]
+    found = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("id") % 2000 == 0, k=3).collect()
+    assert sorted(map(tuple, found)) == sorted((q, r + 1, i, s) for q in range(0, 10_000, 2000) for r, (i, s) in enumerate([(20_001, 35), *[(i, 25) for i in range(4) if i != q][:2]]))
+
+
+def test_blocks_of_clusters_are_dropped_before_they_meet(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 16)) * 300
+    points = np.floor(np.concatenate([c + rng.normal(size=(200, 16)) * 8 for c in centres]))
+    vectors = [(i, p.tolist()) for i, p in enumerate(points)]
+    kept = []
+    real = topk.block_pairs
+
+    def counted(*given):
+        pairs = real(*given)
+        kept.append((pairs.count(), given[2] * given[3]))
+        return pairs
+
+    topk.block_pairs = counted
+    try:
+        found = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5, data_block=100, query_block=32).collect()
+    finally:
+        topk.block_pairs = real
+    ((met, all_pairs),) = kept
+    assert met < all_pairs / 2
+    scores = points[::20] @ points.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = {(20 * q, r + 1, int(i), int(scores[q, i])) for q in range(300) for r, i in enumerate(np.lexsort((np.arange(6000), -scores[q]))[:5])}
+    assert {tuple(r) for r in found} == want
+
+
 def test_cover_tree_covers_and_prunes():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8)) * 1000
