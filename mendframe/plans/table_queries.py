@@ -398,6 +398,28 @@ def csv_breaks_in_fields(spark, sf_dir):
     return loaded.select("id", F.md5(text).alias("digest"), F.char_length(text).cast("long").alias("n_chars"), "source")
 
 
+_ODD_ID = (
+    "case when event_id%5=0 then null when event_id%7=1 then 'x'||cast(event_id as {text}) "
+    "when event_id%3=2 then '42' else cast(event_id as {text}) end"
+)
+
+
+@register(
+    "unique_ids",
+    f"""WITH e AS (SELECT event_id, row_number() over (order by event_id) AS p, try_cast({_ODD_ID.format(text="varchar")} as bigint) AS c FROM events),
+ f AS (SELECT *, coalesce(c, p + (SELECT case when max(c) is null or min(c) > count(*) or max(c) < 1 then 0 else greatest(max(c),0) end FROM e)) AS k FROM e),
+ r AS (SELECT *, row_number() over (partition by k order by p) AS t FROM f)
+ SELECT event_id, case when t=1 then k else (SELECT max(k) FROM f) + row_number() over (partition by t=1 order by p) end AS id FROM r""",
+)
+def unique_ids(spark, sf_dir):
+    """Ids of which a third are one and the same, others NULL or no numbers: after loading, each row has its own."""
+    events = inputs.table(spark, sf_dir, "events").select(F.expr(_ODD_ID.format(text="string")).alias("id"), "event_id")
+    path = new_path(spark, "odd-ids")
+    events.repartitionByRange("event_id").sortWithinPartitions("event_id").write.parquet(path)
+    loaded, _ = load_table(spark, path, fmt="parquet", name="events_with_ids")
+    return loaded.select("event_id", "id")
+
+
 @register(
     "csv_text",
     "SELECT n_nationkey AS id, n_name, n_regionkey FROM nation",

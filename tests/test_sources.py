@@ -138,3 +138,24 @@ def test_shared_folder_and_materialize(spark, dirty):
     stored = materialize(dirty, "unit")
     assert stored.schema == dirty.schema and stored.count() == 10
     assert any(name.startswith("unit-") for name in os.listdir(folder.removeprefix("file:")))
+
+
+@pytest.mark.parametrize("cell_rows", [3, 1000])
+def test_repeated_ids_are_numbered_on(spark, cell_rows):
+    rows = [(i if i % 3 else 7, i, f"v{i}") for i in range(1, 61)]
+    df = spark.createDataFrame(rows, "id long, _position long, v string").repartition(5)
+    found = {r["v"]: r["id"] for r in load.spread_repeats(df, cell_rows).collect()}
+    seen, want, top = set(), {}, 59
+    for i, position, v in rows:
+        top = top + 1 if i in seen else top
+        want[v] = top if i in seen else i
+        seen.add(i)
+    assert found == want and len(set(found.values())) == 60
+
+
+def test_repeated_ids_of_a_file(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("id,v\n" + "".join(f"{i},{n}\n" for n, i in enumerate([5, 5, "", "x", 2, 5, 2, 9])))
+    df, _ = load.load_table(spark, str(path))
+    assert [(r["v"], r["id"]) for r in df.orderBy("v").collect()] == [(0, 5), (1, 14), (2, 12), (3, 13), (4, 2), (5, 15), (6, 16), (7, 9)]
+    assert df.columns == ["id", "v"]
