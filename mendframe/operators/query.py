@@ -153,24 +153,21 @@ def join_tables(
     Diagnostics: rows of both sides, joined rows, match_rate (share of t1 rows
     with a partner), key_unique (t2 has one row per key) and valid (not empty
     and not every row paired with every row).  They come from per-key counts,
-    so the joined rows are not needed to compute them.  Given `t1_rows`, keys
-    that hold a large part of `t1` are spread over several tasks.
+    so the joined rows are not needed to compute them.  NULL keys and keys
+    that hold a large part of `t1` are spread over several tasks; `t1_rows` spares counting the rows for that.
     """
     if key not in t1.columns:
-        raise QueryError(f"Key column '{key}' not found.")
+        raise QueryError(f"the first table has no column '{key}' to join by")
     key2 = other_key(key, t2.columns)
     if key2 is None:
-        raise QueryError(f"No matching key column for '{key}'.")
+        raise QueryError(f"the second table has no column that '{key}' could refer to")
     k1, k2 = _keys(t1, key, t2, key2)
     right = t2.select(
         *[quoted(c).alias(f"t2_{c}" if c in t1.columns else c) for c in t2.columns], k2.alias("_key2")
     )
     left = t1.withColumn("_key1", k1)
-    if t1_rows is None:
-        joined = left.join(right, F.col("_key1") == F.col("_key2"), "left")
-    else:
-        spread = F.struct(*[quoted(c) for c in t1.columns])
-        joined = skew.left_join_spread(left, right, "_key1", "_key2", spread, t1_rows, hot_rows)
+    spread = F.struct(*[quoted(c) for c in t1.columns])
+    joined = skew.left_join_spread(left, right, "_key1", "_key2", spread, t1.count() if t1_rows is None else t1_rows, hot_rows)
     return JoinResult(joined.drop("_key1", "_key2"), _diagnostics(t1, k1, t2, k2), key, key2)
 
 

@@ -90,9 +90,13 @@ def fix_report(df: DataFrame, fixes: DataFrame, id_col: str = "id") -> FixReport
     ids = df.select(quoted(id_col).cast("long").alias("row_id"))
     known = [c for c in df.columns if c != id_col]
     targets = _targets(df, fixes, known)
-    misfit = F.lit(False)
+    # one branch per type, however many columns there are
+    by_type: dict = {}
     for c in known:
-        misfit = F.when(F.col("column") == c, cells.as_column_type(F.col("value"), targets[c]).isNull()).otherwise(misfit)
+        by_type.setdefault(targets[c], []).append(c)
+    misfit = F.lit(False)
+    for t, names in by_type.items():
+        misfit = F.when(F.col("column").isin(names), cells.as_column_type(F.col("value"), t).isNull()).otherwise(misfit)
     return FixReport(
         apply_fixes(df, fixes, id_col),
         fixes.join(ids, "row_id", "left_anti"),

@@ -71,6 +71,13 @@ def test_left_join_with_hot_and_null_keys(spark, hot_rows):
     assert sorted((r["id"], r["k"] or -1, r["name"] or "") for r in got.collect()) == expected
 
 
+def test_joins_spread_without_being_told(spark):
+    left = spark.createDataFrame([(i, None if i % 5 == 0 else 1) for i in range(100)], "id long, k long")
+    joined = query.join_tables(left, spark.createDataFrame([(1, "a")], "k long, v string"), "k", hot_rows=20).rows
+    assert "_salt" in joined._jdf.queryExecution().analyzed().toString()
+    assert joined.where("v = 'a'").count() == 80 and joined.count() == 100
+
+
 def test_hot_threshold_bounds_the_broadcast():
     assert skew.hot_threshold(100) == skew.HOT_ROWS
     assert skew.hot_threshold(10**12) * skew.MAX_HOT_KEYS >= 10**12
