@@ -11,8 +11,8 @@ by a hash of the id; the window over a block sees cells, never rows.
 
 The smallest feasible capacity is found by binary search, `FAN` capacities per
 round: each is checked greedily, a shard at a time, by the last group end within
-reach.  A step is one aggregate over the stored group ends, filtered to the
-intervals in question; only those ends reach the driver.  The cuts are then made
+reach.  A step is one aggregate over the stored group ends, which stand in order, filtered to the
+intervals in question, so Parquet's statistics leave the other pages unread; only those ends reach the driver.  The cuts are then made
 within that capacity: as near to an equal share as the groups allow, but always
 so that the rest still fits.
 
@@ -157,7 +157,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: Column
         F.sum("bytes").alias("group_size"),
         F.min("rows_before").alias("group_row"),
     )
-    groups = materialize(groups, "shard-groups")
+    # in the order of their ends, so that a question reads the pages around its points only
+    groups = materialize(groups.repartitionByRange("group_end").sortWithinPartitions("group_end"), "shard-groups")
     plan = plan_shards(groups, shards)
     number = F.lit(0)
     for cut in plan.cuts[1:-1]:
