@@ -82,7 +82,8 @@ def query(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
 
 
 def table_names(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables() if t.isTemporary)
+    # names only: listing tables through the catalog resolves every one of them
+    return sorted(r["viewName"] for r in spark.sql("SHOW VIEWS").collect() if r["isTemporary"])
 
 
 def rows(spark: SparkSession, table: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import functions as F
@@ -69,14 +70,16 @@ SHAPES = {
 }
 
 
-def _register_tables(spark, sf_dir):
+def _register_tables(spark, sf_dir, text):
+    """The given tables that a text names, as views."""
     for name in TABLES:
-        inputs.table(spark, sf_dir, name).createOrReplaceTempView(name)
+        if re.search(rf"\b{name}\b", text):
+            inputs.table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def _shape(text):
     def run(spark, sf_dir):
-        _register_tables(spark, sf_dir)
+        _register_tables(spark, sf_dir, text)
         return query.query(spark, text, limit=None)
 
     return run
@@ -86,11 +89,10 @@ for _name, _text in SHAPES.items():
     register(_name, _text)(_shape(_text))
 
 
-
 @register("inspect_rows", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def inspect_rows(spark, sf_dir):
     """All rows and columns of the one wanted table that there is."""
-    _register_tables(spark, sf_dir)
+    _register_tables(spark, sf_dir, "supplier")
     known, unknown = query.select_tables(spark, ["supplier", "suppliers"])
     if (known, unknown) != (["supplier"], ["suppliers"]):
         raise ValueError(f"tables {known} and not {unknown}")
