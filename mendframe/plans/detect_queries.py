@@ -369,14 +369,14 @@ def inject_decoy_by_rule(spark, sf_dir):
 
 @register(
     "inject_invariants",
-    f"""WITH {sql.PARTS} SELECT count(*) AS rows, cast(40 as bigint) AS planted, cast(40 as bigint) AS recovered,
- cast(0 as bigint) AS other_changes FROM p""",
+    f"""WITH {sql.PARTS} SELECT count(*) AS rows, count(*)//50 AS planted, count(*)//50 AS recovered,
+ (SELECT count(*) FROM p a JOIN p b ON a.id=b.id WHERE a.retail<>b.retail) AS other_changes FROM p""",
 )
 def inject_invariants(spark, sf_dir):
     """Planted cells differ from the original, undoing them restores the table."""
     df = inputs.part_dirty(spark, sf_dir)
     dirty, planted = inject.inject_errors(
-        df, prof.profile_table(df, PARTS, unique=None), 40, checks=("null", "constraint")
+        df, prof.profile_table(df, PARTS, unique=None), df.count() // 50, checks=("null", "constraint")
     )
     restored = repair.apply_fixes(dirty, repair.corrections(planted))
     changed = compare.cell_diff(df, dirty).select("row_id", "column").withColumn("changed", F.lit(1))

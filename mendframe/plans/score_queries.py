@@ -465,3 +465,31 @@ def downstream_ml(spark, sf_dir):
     )
     profile = prof.profile_table(df, "lineitem", unique=["status"], medians="all")
     return outcome.downstream_ml(df, repair.auto_impute(df, profile), profile)
+
+
+_SHARE = "(SELECT greatest(avg(y), 1-avg(y)) AS m FROM (SELECT case when o_totalprice>120000 then 1.0 else 0.0 end AS y FROM orders))"
+
+
+@register(
+    "downstream_ml_bands",
+    f"""SELECT 'gain' AS version, m AS accuracy_before, 1.0::DOUBLE AS accuracy_after, least(1.0, 0.75+2.5*(1-m))::DOUBLE AS downstream FROM {_SHARE}
+ UNION ALL SELECT 'same', m, m, 0.75 FROM {_SHARE}
+ UNION ALL SELECT 'loss', 1.0, m, greatest(0.30, 0.75+2.5*(m-1)) FROM {_SHARE}""",
+)
+def downstream_ml_bands(spark, sf_dir):
+    """A target that one column decides: with that column a classifier is always right, without it the larger class is all it has."""
+    orders = inputs.table(spark, sf_dir, "orders")
+    dear = F.col("o_totalprice") > 120000
+    told = orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.when(dear, F.lit("dear")).otherwise(F.lit("cheap")).alias("price_class"),
+        F.when(dear, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"),
+        (F.col("o_orderkey") % 3).alias("turn"),
+    )
+    untold = told.withColumn("sign", F.lit(0.0))
+    out = None
+    for name, before, after in (("gain", untold, told), ("same", untold, untold), ("loss", told, untold)):
+        profile = prof.profile_table(before, "orders", unique=["price_class"])
+        row = outcome.downstream_ml(before, after, profile).select(F.lit(name).alias("version"), "accuracy_before", "accuracy_after", "downstream")
+        out = row if out is None else out.unionByName(row)
+    return out
