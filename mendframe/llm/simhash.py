@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.llm.common import meets, with_keys
+from mendframe.llm.common import meets
 from mendframe.session import materialize
 
 SEED = 42
@@ -154,16 +154,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.id").alias("component_id"),
     )
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays.
-
-    Of rows that repeat the smallest id in other columns one stays; of equal rows, one.
-    """
-    rows = with_keys(docs)
-    printed = rows.select(F.col("whole").getField(id_col).alias("doc_id"), fingerprints(F.col("whole").getField(text_col)).alias("fp"), "k1", "k2")
-    labels = label(materialize(printed, "simhash-rows"), radius, bucket)
-    chosen = labels.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")).distinct()
-    kept = rows.join(materialize(chosen, "simhash-chosen"), meets("k1", "k2"), "left_semi")
-    return kept.groupBy("k1", "k2").agg(F.first("whole").alias("whole")).select("whole.*")
