@@ -59,6 +59,17 @@ def scan(
     return Scan(table, data, rules, materialize_by(issues, "row_id", f"{table}_issues") if store else issues)
 
 
+def scan_tables(tables: Mapping[str, DataFrame], primary: str | None = None, **options) -> Scan:
+    """`scan` of one of several tables, the first unless it is named; the others are what its keys refer to."""
+    if not tables:
+        raise ValueError("no tables to scan")
+    name = next(iter(tables)) if primary is None else primary
+    if name not in tables:
+        raise ValueError(f"no table {name} among {sorted(tables)}")
+    others = {other: df for other, df in tables.items() if other != name}
+    return scan(tables[name], name, references=others, **options)
+
+
 def with_long_id(data: DataFrame, id_col: str) -> DataFrame:
     return data.select(*[quoted(c).cast("long").alias(c) if c == id_col else quoted(c) for c in data.columns])
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from mendframe.operators import delta, detect, profile as prof, repair, report
 from mendframe.plans import check_sql as sql, inputs
 from mendframe.plans.registry import register
-from mendframe.plans.flow import scan
-from mendframe.session import materialize_by
+from mendframe.plans.flow import scan, scan_tables
+from mendframe.session import materialize_by, new_path
+from mendframe.sources import load_tables
 
 ORDERS, PARTS = "orders_dirty", "part_dirty"
 
@@ -283,6 +284,19 @@ def issue_breakdown(spark, sf_dir):
     return report.issue_breakdown(orders_scan(spark, sf_dir).issues)
 
 
+@register("scan_of_loaded_tables", f"{_ISSUES} SELECT issue_type, count(*) AS n FROM i GROUP BY 1")
+def scan_of_loaded_tables(spark, sf_dir):
+    """Two tables exported, loaded and scanned together: orders refer to customers."""
+    paths = {}
+    for name, df in ((ORDERS, inputs.orders_dirty(spark, sf_dir)), ("customer", inputs.table(spark, sf_dir, "customer"))):
+        paths[name] = new_path(spark, name)
+        df.write.parquet(paths[name])
+    loaded = load_tables(spark, paths, fmt="parquet")
+    # customers are known by their own key, which is their first column behind the id that loading adds
+    loaded["customer"] = loaded["customer"].select("c_custkey", "c_name")
+    return report.issue_breakdown(scan_tables(loaded, ORDERS, unique_ids=True).issues)
+
+
 @register("issue_sample", f'{_ISSUES} SELECT * FROM i ORDER BY issue_type, row_id, "column" LIMIT 15')
 def issue_sample(spark, sf_dir):
     return report.issue_sample(orders_scan(spark, sf_dir).issues)

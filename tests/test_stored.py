@@ -91,3 +91,14 @@ def test_steps_are_dropped(spark, dirty):
     drop_steps(spark)
     assert STEPS not in {d.name for d in spark.catalog.listDatabases()}
     assert materialize_by(dirty, "id").count() == 10
+
+
+def test_scan_of_several_tables(spark, dirty, classes):
+    rides = dirty.withColumn("classes_id", dirty["id"])
+    found = flow.scan_tables({"rides": rides, "classes": classes})
+    assert found.table == "rides"
+    assert {r["row_id"] for r in found.issues.where("issue_type = 'fk_violation'").collect()} == {6, 7, 8, 9, 10}
+    assert flow.scan_tables({"rides": rides, "classes": classes}, "classes").table == "classes"
+    for tables, primary in (({}, None), ({"rides": rides}, "classes")):
+        with pytest.raises(ValueError):
+            flow.scan_tables(tables, primary)
