@@ -5,8 +5,8 @@ each line is a function of two states, outside and inside of quotes: constant, i
 swap.  These compose; the state behind any line follows from the last constant before it and the
 parity of the swaps since.  A first scan keeps the lines that are no identity, without their text,
 composes them per file split (a byte range of Spark's own), and then the splits of each file in order: that
-gives the state each split begins in.  A second scan deals the lines to tasks by split, in file
-order, and cuts them into records; a record that goes on in later splits takes its
+gives the state each split begins in.  A second scan deals the lines to tasks by split
+and cuts them into records; a record that goes on in later splits takes its
 rest from their heads.  Records are parsed by Spark's own CSV parser and stored in file order.
 
 A field that is never closed ends with the file, without its last line break.
@@ -112,7 +112,7 @@ def splits_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str, splits: DataFrame) -> DataFrame:
-    """(split, row, record): the text of each record, at its first line, in file order."""
+    """(split, row, text): the text of each record, at its first line."""
     place = splits.select(F.col("path").alias("_path"), F.col("start").alias("_start"), "split", "first", "incoming", "outgoing", "owner", "crlf")
     lines = _with_function(_lines(spark, path))
     lines = lines.join(place, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start"))).drop("_path", "_start", "path", "start")
@@ -126,8 +126,8 @@ def _records(spark: SparkSession, path: str, splits: DataFrame) -> DataFrame:
         some = some.withColumn("begins", ~F.coalesce(F.lag("open").over(along), F.col("incoming")))
         return some.withColumn("record", F.sum(F.col("begins").cast("long")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    dealt = cut(lines.repartitionByRange("split"))
-    # all lines of a record meet at its first one; tasks hold whole splits, so nothing moves
+    dealt = cut(lines)
+    # all lines of a record meet at its first one; tasks hold whole splits by now, so nothing moves
     inside = Window.partitionBy("split", "record").orderBy("row").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     found = dealt.withColumn("pieces", F.collect_list("line").over(inside)).withColumn("stays_open", F.last("open").over(inside))
     found = found.where("begins").select("split", "row", "first", "record", F.array_join("pieces", "\n").alias("text"), (F.col("stays_open") & F.col("outgoing")).alias("goes_on"))
@@ -155,7 +155,8 @@ def read(spark: SparkSession, path: str, by_lines, in_one) -> DataFrame:
     whole = in_one(spark, path)
     if bare_cr and _first_break_is_cr(spark, path):
         return whole
-    records = _records(spark, path, splits)
+    # stored, because dealing rows out by range looks at them twice
+    records = materialize(_records(spark, path, splits), "csv-records")
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in whole.columns)
     parsed = records.select("split", "row", F.from_csv("text", schema, PARSING).alias("r"))
     ordered = parsed.repartitionByRange("split", "row").sortWithinPartitions("split", "row")

@@ -91,7 +91,7 @@ def splits_of(spark: SparkSession, path: str, base: int) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str, splits: DataFrame, base: int) -> DataFrame:
-    """(split, row, record): the text of each record at its first segment; what stands before a record is still with it."""
+    """(split, row, opening, text): the text of each record at its first segment; what stands before a record is still with it."""
     place = splits.select(F.col("path").alias("_path"), F.col("start").alias("_start"), "split", "first", "inside", "depth", "incoming", "outgoing", "owner")
     segments = _with_function(_segments(spark, path))
     segments = segments.join(place, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start"))).drop("_path", "_start", "path", "start")
@@ -102,7 +102,7 @@ def _records(spark: SparkSession, path: str, splits: DataFrame, base: int) -> Da
         some = some.withColumn("begins", ~F.coalesce(F.lag("open").over(along), F.col("incoming")))
         return some.withColumn("record", F.sum(F.col("begins").cast("long")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    dealt = cut(segments.repartitionByRange("split"))
+    dealt = cut(segments)
     inside = Window.partitionBy("split", "record").orderBy("row").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     found = dealt.withColumn("pieces", F.collect_list("text").over(inside)).withColumn("stays_open", F.last("open").over(inside))
     found = found.where("begins").select("split", "row", (F.col("first") & (F.col("record") == 1)).alias("opening"), F.array_join("pieces", END).alias("text"), (F.col("stays_open") & F.col("outgoing")).alias("goes_on"))
@@ -123,7 +123,8 @@ def read(spark: SparkSession, path: str, keys: tuple[str, ...], in_one) -> DataF
     if len(shapes) != 1 or not shapes[0]:
         return in_one(spark, path)
     base = shapes[0]
-    records = _records(spark, path, splits_of(spark, path, base), base)
+    # stored, because dealing rows out by range looks at them twice
+    records = materialize(_records(spark, path, splits_of(spark, path, base), base), "json-pieces")
     opened = F.regexp_replace("text", r'(?s)\A﻿?\s*(?:\{\s*"[a-z]+"\s*:\s*)?\[\s*', "")
     text = F.when(F.col("opening"), opened).otherwise(F.regexp_replace("text", r"(?s)\A\s*,\s*", ""))
     # line breaks stand between tokens only, never in strings
