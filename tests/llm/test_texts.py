@@ -433,7 +433,7 @@ def as_html(rng, node):
     return f"<{tag}{listed}>{inner}" + ("" if left_out else f"</{tag}>")
 
 
-def plain_lines(nodes, seen=True):
+def laid_out(nodes, seen=True):
     """[(line, gap before)]: laid out lines, and whether a blank line is due before each; and whether one is due behind."""
     lines, gap, open_line = [], False, False
 
@@ -490,16 +490,16 @@ def plain_lines(nodes, seen=True):
                 number = a.get("value", number)
                 mark = "- " if tag == "ul" else f"{number}. "
                 number += step
-                found, due = plain_lines_of(inner, shown[-1], [*lists, tag])
+                found, due = laid_out_of(inner, shown[-1], [*lists, tag])
                 put([((mark if i == 0 else " " * len(mark)) + t, g) for i, (t, g) in enumerate(found)], due, True)
             gap = gap or not lists
             return
         if tag == "table":
-            rows = [[(joined(plain_lines_of(cell[2], shown[-1], [])[0]), cell[1].get("colspan", 1), cell[1].get("rowspan", 1)) for cell in row[2]] for row in children]
+            rows = [[(joined(laid_out_of(cell[2], shown[-1], [])[0]), cell[1].get("colspan", 1), cell[1].get("rowspan", 1)) for cell in row[2]] for row in children]
             block(([(t, False) for t in plain_table(rows)], False), True, True)
             return
         spaced = tag in ("p", "blockquote")
-        found, due = plain_lines_of(children, shown[-1], lists)
+        found, due = laid_out_of(children, shown[-1], lists)
         if tag == "blockquote":
             found = [("> " + t, g) for t, g in found]
         block((found, due), spaced, spaced)
@@ -510,8 +510,8 @@ def plain_lines(nodes, seen=True):
     return lines, gap
 
 
-def plain_lines_of(children, seen, lists):
-    return plain_lines([(x, lists) for x in children], seen)
+def laid_out_of(children, seen, lists):
+    return laid_out([(x, lists) for x in children], seen)
 
 
 def joined(found):
@@ -558,7 +558,7 @@ def test_random_pages_against_the_plain_renderer():
     for _ in range(1500):
         trees = [random_tree(rng) for _ in range(rng.randrange(1, 4))]
         page = "".join(as_html(rng, t) for t in trees)
-        want = "\n".join(joined(plain_lines_of(trees, True, [])[0])).strip("\n")
+        want = "\n".join(joined(laid_out_of(trees, True, [])[0])).strip("\n")
         assert html_text.render(page) == want, page
 
 
