@@ -1,14 +1,22 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, without a missed pair.
+"""Near-duplicates by SimHash and the Jaccard similarity of word shingles, without a missed pair.
 
 A text is the set of its lower-cased shingles of five words; two texts are linked
 if the sets have a similarity of 0.8 or more, and a component keeps one row.
 
+Sets first meet by their SimHash of 320 bits.  A similarity of 0.8 leaves some 15 %
+of the bits different, too many for covering masks over the whole, so the masks of
+`simhash.py` cover each part of 40 bits: parts within `RADIUS` bits meet, without
+exception, and pairs are compared by their whole sets before they are links.  No
+radius of a random projection is certain to hold a similarity, so some pairs have
+no near part; the rest of the module finds them, and passes over what the
+fingerprints have connected.
+
 Two such sets share a shingle among the first n - ceil(0.8 n) + 1 of each, in any
 order common to all (prefix filter).  The order is by how many texts fall on the
 shingle's cell of a table of fixed size: common passages come last.  So each set
 meets others under its rare shingles only, and no similar pair is left out.
 
-Groups of at most `BUCKET` sets are paired inside their join; a pair stays if the
+Groups of at most `BUCKET` sets are paired inside their join, unless connected; a pair stays if the
 shingles it shares among the first ones allow the similarity, and is then compared
 by its whole sets.  In a larger group each set is first compared with one leader,
 for some rounds; then only sets that are not yet in one component are paired, which
@@ -30,12 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendframe.llm import simhash
 from mendframe.llm.common import batches_of, meets, with_keys
 from mendframe.llm.simhash import connected
 from mendframe.session import materialize
 
 SEED = 42
 WORDS = 5
+PARTS = 8  # of a set's fingerprint
+PART_BYTES = 5
+RADIUS = 2  # bits in which two parts may differ to meet
 BUCKET = 64
 ROUNDS = 4
 CELL_BITS = 18  # of the table that orders shingles
@@ -68,6 +80,20 @@ def print_of(found: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def fingerprint(found: np.ndarray) -> list[int]:
+    """The SimHash of a set in parts of 40 bits; the upper 24 bits of each say which part it is.
+
+    The number of the part is repeated, so that each covering mask keeps parts of two numbers apart.
+    """
+    whole, own = b"", found
+    while len(whole) < PARTS * PART_BYTES:
+        whole += simhash.majority(own).to_bytes(8, "little", signed=True)
+        own = own * MULTIPLIER  # further bits come from further hashes
+        own ^= own >> np.uint64(32)
+    parts = [whole[at : at + PART_BYTES] + (0o11111111 * i).to_bytes(3, "little") for i, at in enumerate(range(0, PARTS * PART_BYTES, PART_BYTES))]
+    return [int.from_bytes(part, "little", signed=True) for part in parts]
+
+
 def first_ones(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The shingles under which a set meets all sets of similarity 0.8."""
     n = len(found)
@@ -95,10 +121,13 @@ def _ints(values: list[int], bits: int) -> pa.Array:
 
 
 def prints(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A struct of the print and the parts of the fingerprint of a text's set."""
+
+    @F.pandas_udf("fp long, parts array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([print_of(shingles(t)) for t in texts], dtype="int64")
+            named = [(print_of(found), fingerprint(found)) for found in map(shingles, texts)]
+            yield pd.DataFrame({"fp": pd.Series([p for p, _ in named], dtype="int64"), "parts": [f for _, f in named]})
 
     return run(text)
 
@@ -143,6 +172,11 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.where(9 * shared >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b"), "jaccard-links")
 
 
+def _similar_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
+    return similar(pairs, sets_of(texts, ends)) if pairs.head(1) else pairs
+
+
 def _sizes_allow(a: str, b: str) -> Column:
     return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
 
@@ -154,15 +188,31 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return ordered.select(F.col("x.f").alias("a"), F.col("y.f").alias("b"), F.col("x.s").alias("size_a"), F.col("y.s").alias("size_b"))
 
 
-def _rooted(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    roots = connected(edges) if edges is not None else None
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = connected(edges)
     if roots is None:
         return members.withColumn("root", F.col("fp"))
-    return materialize(members.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "jaccard-rooted")
+    return members.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
-def links(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect the sets of `texts` (text) wherever the similarity is 0.8 or more."""
+def links_by_fingerprint(nodes: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) of similarity 0.8 or more among sets that the fingerprints of the stored `nodes` (fp, parts) bring together.
+
+    Parts within `RADIUS` bits meet in the covering tables.  Of sets that share a part, one meets the
+    others and those of near parts.
+    """
+    owners = nodes.select("fp", F.explode("parts").alias("part"))
+    leaders = materialize(owners.groupBy(F.col("part").alias("_part")).agg(F.min("fp").alias("lead")), "jaccard-parts")
+    near = simhash.links(leaders.select(F.col("_part").alias("fp")), RADIUS, bucket)
+    left, right = (leaders.select(F.col("_part").alias(f"_{c}"), F.col("lead").alias(f"lead_{c}")) for c in "ab")
+    across = near.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
+    within = owners.join(leaders, F.col("part") == F.col("_part")).select(F.col("lead").alias("x"), F.col("fp").alias("y"))
+    met = across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return _similar_of(materialize(met.distinct(), "jaccard-near"), texts)
+
+
+def links(texts: DataFrame, known: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b), the stored `known` ones among them, that connect the sets of `texts` (text) wherever the similarity is 0.8 or more."""
     weights = cell_weights(texts)
 
     def emit(sets):
@@ -173,14 +223,14 @@ def links(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     firsts = materialize(firsts.select(F.explode("first").alias("key"), "fp", "size"), "jaccard-firsts")
     shared = firsts.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = firsts.join(materialize(shared, "jaccard-buckets"), F.col("key") == F.col("_key")).drop("_key")
-    members = materialize(members, "jaccard-members")
-    other = members.select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), F.col("size").alias("_size"), F.col("n").alias("_n"))
-    few = members.where(F.col("n") <= bucket).join(other.where(F.col("_n") <= bucket), (F.col("key") == F.col("_key")) & (F.col("fp") < F.col("_fp")))
-    many = materialize(members.where(F.col("n") > bucket).drop("n"), "jaccard-many")
-    edges, found = None, _pairs(few)
+    members = materialize(_rooted(members, known), "jaccard-members")
+    other = members.select(F.col("key").alias("_key"), F.col("fp").alias("_fp"), F.col("size").alias("_size"), F.col("n").alias("_n"), F.col("root").alias("_root"))
+    meet = (F.col("key") == F.col("_key")) & (F.col("fp") < F.col("_fp")) & (F.col("root") != F.col("_root"))
+    few = members.where(F.col("n") <= bucket).join(other.where(F.col("_n") <= bucket), meet)
+    rooted = materialize(members.where(F.col("n") > bucket).drop("n"), "jaccard-many")
+    many, edges, found = rooted.drop("root"), known, _pairs(few)
     if many.head(1):
         sets = sets_of(texts, many.select("fp"))
-        rooted = _rooted(many, None)
         for turn in range(ROUNDS):
             lead = F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), F.xxhash64(F.lit(turn), "fp").alias("g"), F.col("fp"), F.col("size"), F.col("root")))
             leaders = materialize(rooted.groupBy(F.col("key").alias("_key")).agg(lead.alias("lead")), "jaccard-leaders")
@@ -189,8 +239,8 @@ def links(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
             new = similar(materialize(_pairs(met).select("a", "b").distinct(), "jaccard-stars"), sets)
             if not new.head(1):
                 break
-            edges = new if edges is None else edges.unionByName(new)
-            rooted = _rooted(many, edges)
+            edges = edges.unionByName(new)
+            rooted = materialize(_rooted(many, edges), "jaccard-rooted")
         present = materialize(rooted.select("key", "root").distinct(), "jaccard-roots")
         apart = present.alias("l").join(present.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")))
         apart = apart.select(F.col("l.key").alias("k"), F.col("l.root").alias("x"), F.col("r.root").alias("y"))
@@ -202,10 +252,7 @@ def links(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rest = lambda c: F.floor((4 * F.col(c) + 4) / 5) - 1  # noqa: E731  what a set has behind its first ones
     enough = 9 * (F.col("c") + F.greatest(rest("size_a"), rest("size_b"))) >= 4 * (F.col("size_a") + F.col("size_b"))
     pairs = materialize(counted.where(enough).select("a", "b"), "jaccard-pairs")
-    if pairs.head(1):
-        new = similar(pairs, sets_of(texts, pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))))
-        edges = new if edges is None else edges.unionByName(new)
-    return edges if edges is not None else pairs
+    return edges.unionByName(_similar_of(pairs, texts))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -214,11 +261,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat the smallest id in other columns one stays; of equal rows, one.
     """
     rows = with_keys(docs)
-    printed = rows.select(F.col("whole").getField(id_col).alias("doc_id"), prints(F.col("whole").getField(text_col)).alias("fp"), "k1", "k2")
-    stored = materialize(printed, "jaccard-rows")
+    printed = rows.select(F.col("whole").getField(id_col).alias("doc_id"), prints(F.col("whole").getField(text_col)).alias("set"), "k1", "k2")
+    stored = materialize(printed.select("doc_id", "set.fp", "set.parts", "k1", "k2"), "jaccard-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("k1"), F.col("k2")))
-    nodes = materialize(stored.groupBy("fp").agg(first.alias("first")), "jaccard-nodes")
-    roots = connected(links(docs.select(F.col(text_col).cast("string").alias("text")), bucket))
+    nodes = materialize(stored.groupBy("fp").agg(first.alias("first"), F.first("parts").alias("parts")), "jaccard-nodes")
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    roots = connected(links(texts, links_by_fingerprint(nodes, texts, bucket), bucket))
     if roots is not None:
         named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
         nodes = named.groupBy("root").agg(F.min("first").alias("first"))

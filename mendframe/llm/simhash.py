@@ -41,6 +41,15 @@ RADIUS = 2
 BUCKET = 64
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes, as a signed number."""
+    ones = np.zeros(64, dtype=np.int64)
+    as_bytes = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(as_bytes[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The signed 64-bit SimHash of the word shingles of a text."""
     from xxhash import xxh64_intdigest
@@ -53,11 +62,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     ends = np.cumsum(size + 1) - 1
     starts, span = (ends - size).tolist(), min(words, len(own))
     hashes = [xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts, ends[span - 1 :].tolist(), strict=False)]
-    ones = np.zeros(64, dtype=np.int64)
-    as_bytes = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(as_bytes[at : at + (1 << 14)], axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(text: Column) -> Column:

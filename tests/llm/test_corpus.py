@@ -349,6 +349,67 @@ def test_similar_texts_against_brute_force(spark, tmp_path, bucket):
         assert sorted(r.doc_id for r in stage(spark, table, str(tmp_path)).collect()) == sorted({*root})
 
 
+def test_fingerprints_of_sets():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 400):
+        found = np.array(sorted(rng.getrandbits(64) for _ in range(n)), dtype=np.uint64)
+        hashes, bits = [int(h) for h in found], []
+        while len(bits) < 320:
+            bits += [2 * sum(h >> b & 1 for h in hashes) > n for b in range(64)]
+            hashes = [h * int(jaccard.MULTIPLIER) % (1 << 64) for h in hashes]
+            hashes = [h ^ h >> 32 for h in hashes]
+        parts = [p & (1 << 64) - 1 for p in jaccard.fingerprint(found)]
+        assert [p & (1 << 40) - 1 for p in parts] == [sum(bit << i for i, bit in enumerate(bits[at : at + 40])) for at in range(0, 320, 40)]
+    tags = [p >> 40 << 40 for p in parts]  # no mask lets parts of two numbers meet
+    assert all((a ^ b) & m for a in tags for b in tags if a != b for m in simhash.masks(jaccard.RADIUS)) and len({*tags}) == 8
+
+
+def test_near_duplicates_meet_by_their_fingerprints(spark, tmp_path, monkeypatch):
+    """The stage goes through the covering tables, and exactly the near parts meet there; pairs are verified, the rest found."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(10):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for _ in range(6):  # up to 4 changed words: similarity from about 0.8 to 1
+            own = list(base)
+            for at in rng.sample(range(400), rng.randrange(0, 5)):
+                own[at] = f"new{rng.randrange(5000)}"
+            texts.append(" ".join(own))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(20)]
+    met, known = [], []
+    covering, verified = simhash.links, getattr(jaccard, "links_by_fingerprint", None)
+    monkeypatch.setattr(simhash, "links", lambda *a: met.append(covering(*a)) or met[-1])
+    monkeypatch.setattr(jaccard, "links_by_fingerprint", lambda *a: known.append(verified(*a)) or known[-1], raising=False)
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = sorted(r.doc_id for r in stage(spark, table, str(tmp_path)).collect())
+    assert len(met) == len(known) == 1
+
+    sets = {jaccard.print_of(s): s for s in map(jaccard.shingles, texts)}
+    parts = sorted({p & (1 << 64) - 1 for s in sets.values() for p in jaccard.fingerprint(s)})
+    near = {(a, b) for i, a in enumerate(parts) for b in parts[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert {tuple(sorted((r.a & (1 << 64) - 1, r.b & (1 << 64) - 1))) for r in met[0].collect()} == near
+
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    edges = [(r.a, r.b) for r in known[0].collect()]
+    assert all(alike(sets[a], sets[b]) >= 0.8 for a, b in edges)
+
+    def roots(pairs):
+        root = {p: p for p in sets}
+        for a, b in pairs:
+            root = {p: root[a] if r == root[b] else r for p, r in root.items()}
+        return root
+
+    every = [(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b]) >= 0.8]
+    by_print, whole = roots(edges), roots(every)
+    close = [(a, b) for a, b in every if alike(sets[a], sets[b]) >= 0.9]
+    assert len(close) > 40 and sum(by_print[a] == by_print[b] for a, b in close) >= 0.9 * len(close)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(whole[jaccard.print_of(jaccard.shingles(t))], i)
+    assert kept == sorted(first.values())
+
+
 @pytest.mark.parametrize("bucket", [3, jaccard.BUCKET])
 def test_similar_texts_with_every_odd_case(spark, docs, rows, empty, bucket):
     """NULL and blank texts, NULL ids, repeated rows and ids, very long texts, columns named as those inside."""
