@@ -11,10 +11,10 @@ radius of a random projection is certain to hold a similarity, so some pairs hav
 no near part; the rest of the module finds them, and passes over what the
 fingerprints have connected.
 
-Two such sets share a shingle among the first n - ceil(0.8 n) + 1 of each, in any
-order common to all (prefix filter).  The order is by how many texts fall on the
-shingle's cell of a table of fixed size: common passages come last.  So each set
-meets others under its rare shingles only, and no similar pair is left out.
+Two sets of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of
+each, in any order common to all (prefix filter).  The order is by how many texts
+fall on the shingle's cell of a table of fixed size: common passages come last.  So
+each set meets others under its rare shingles only, and no similar pair is left out.
 
 Groups of at most `BUCKET` sets are paired inside their join, unless connected; a pair stays if the
 shingles it shares among the first ones allow the similarity, and is then compared
