@@ -531,6 +531,22 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert Counter(r.doc_id for r in found if r.start == 0) == Counter(r.doc_id for r in kept.collect())
 
 
+def test_pipeline_gives_python_small_batches(spark):
+    rows = spark.range(5 * corpus_pipeline.BATCH).repartition(1).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang", "'a' AS source", "9L AS n_chars")
+    largest = lambda: rows.mapInPandas(lambda parts: (p.iloc[:1, :1].set_axis(["n"], axis=1).assign(n=len(p)) for p in parts), "n long").agg(F.max("n")).head()[0]
+    given = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(corpus_pipeline.BATCH_SETTING, corpus_pipeline.DEFAULT_BATCH)
+            stage(spark, rows, "")
+            assert largest() == corpus_pipeline.BATCH
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, 77)
+        corpus_pipeline.quality(spark, rows, "")
+        assert largest() == 77
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, given)
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
